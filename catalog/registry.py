@@ -1,4 +1,4 @@
 """Importing the query modules fills the registry."""
 
 from .base import QUERIES, SQL  # noqa: F401
-from . import duplicates, text  # noqa: F401
+from . import duplicates, phrases, text  # noqa: F401

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_array
+from ..plans.spread import spread
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,6 +25,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     All words of a document are in one row, so the partial aggregate is already complete
     before the shuffle.
     """
+    docs = spread(docs.select(id_col, text_col), id_col)
     words = docs.select(F.col(id_col), F.explode(word_array(F.col(text_col))).alias("term"))
     return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
