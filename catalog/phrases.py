@@ -16,7 +16,7 @@ STOP_SQL = "(" + ", ".join(f"'{w}'" for w in stopword_list()) + ")"
 LEAD = "|".join(DETERMINERS)
 
 SQL_TOKENS = r"""
-tok as (select doc_id, generate_subscripts(w, 1) as pos, unnest(w) as term
+tok as materialized (select doc_id, generate_subscripts(w, 1) as pos, unnest(w) as term
         from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents))
 """
 
@@ -27,16 +27,16 @@ raw as (select doc_id, generate_subscripts(w, 1) as pos, unnest(w) as t
 flag as (select *, case when t in {STOP_SQL} or not regexp_matches(t, '^[\p{{L}}\p{{N}}]')
                         then 1 else 0 end as brk from raw),
 isl as (select *, sum(brk) over (partition by doc_id order by pos) as g from flag),
-spans as (select doc_id, min(pos) as start, count(*) as length, string_agg(t, ' ' order by pos) as phrase
+spans as materialized (select doc_id, min(pos) as start, count(*) as length, string_agg(t, ' ' order by pos) as phrase
           from isl where brk = 0 group by doc_id, g having count(*) between 2 and 5)
 """
 
 SQL_NORMAL = rf"""
 normal as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(phrase)),
              '^({LEAD})\s+', ''), '[^a-z0-9\- ]', '', 'g'), '\s+', ' ', 'g')) as phrase from spans),
-pdc as (select phrase, doc_id, count(*) as n from normal
+pdc as materialized (select phrase, doc_id, count(*) as n from normal
         where len(regexp_extract_all(phrase, '[^\s-]+')) >= 2 group by 1, 2),
-post as (select *, count(*) over (partition by phrase) as doc_count from pdc
+post as materialized (select *, count(*) over (partition by phrase) as doc_count from pdc
          qualify count(*) over (partition by phrase) >= 5)
 """
 
@@ -45,17 +45,17 @@ def sql_pass(tokens: str, tag: str) -> str:
     """One learning and merging pass over the token relation ``tokens``."""
     return f"""
 bg{tag} as (select doc_id, pos, term as a, lead(term) over (partition by doc_id order by pos) as b from {tokens}),
-un{tag} as (select term, count(*) as n from {tokens} group by 1),
+un{tag} as materialized (select term, count(*) as n from {tokens} group by 1),
 tt{tag} as (select sum(n)::double as total from un{tag}),
-co{tag} as (select a, b, n_ab, log2(n_ab * total / (x.n * y.n::double)) as pmi
+co{tag} as materialized (select a, b, n_ab, log2(n_ab * total / (x.n * y.n::double)) as pmi
             from (select a, b, count(*) as n_ab from bg{tag} where b is not null group by 1, 2 having count(*) >= 5)
             join un{tag} x on x.term = a join un{tag} y on y.term = b, tt{tag}
             where log2(n_ab * total / (x.n * y.n::double)) >= 2),
-hit{tag} as (select g.*, c.a is not null as hit, row_number() over (partition by doc_id order by pos) as k
+hit{tag} as materialized (select g.*, c.a is not null as hit, row_number() over (partition by doc_id order by pos) as k
              from bg{tag} g left join co{tag} c on g.a = c.a and g.b = c.b),
 isl{tag} as (select *, k - row_number() over (partition by doc_id, hit order by pos) as isle from hit{tag}),
 st{tag} as (select *, hit and row_number() over (partition by doc_id, hit, isle order by pos) % 2 = 1 as st from isl{tag}),
-mt{tag} as (select doc_id, pos, case when st then a || '_' || b else a end as term
+mt{tag} as materialized (select doc_id, pos, case when st then a || '_' || b else a end as term
             from (select *, lag(st, 1, false) over (partition by doc_id order by pos) as gone from st{tag})
             where not gone)
 """
@@ -66,7 +66,7 @@ ct as (select term, count(*) as n from mt2 where term like '%\_%' escape '\'
          and not regexp_matches(term, '^({LEAD})_') group by 1),
 tw as (select term, n, string_split(replace(term, '_', ' '), ' ') as w from ct),
 ti as (select term, n, w, list_filter(generate_series(1, len(w)), lambda i: w[i] not in {STOP_SQL}) as keep from tw),
-tm as (select array_to_string(w[list_min(keep):list_max(keep)], ' ') as phrase, sum(n) as n
+tm as materialized (select array_to_string(w[list_min(keep):list_max(keep)], ' ') as phrase, sum(n) as n
        from ti where len(keep) > 0 group by 1 having contains(array_to_string(w[list_min(keep):list_max(keep)], ' '), ' '))
 """
 
@@ -76,26 +76,26 @@ gram as (select doc_id, array_to_string(w[i:i + n - 1], ' ') as phrase
          from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i
                from wd, (values (2), (3), (4)) t(n) where len(w) >= n)),
 pm as (select phrase, doc_id, count(*) as n from gram where phrase in (select phrase from tm) group by 1, 2),
-colloc as (select *, count(*) over (partition by phrase) as doc_count from pm
+colloc as materialized (select *, count(*) over (partition by phrase) as doc_count from pm
            qualify count(*) over (partition by phrase) >= 5)
 """
 
 SQL_NOUN = """
 np as (select trim(regexp_replace(replace(phrase, '-', ' '), '\\s+', ' ', 'g')) as phrase, doc_id, sum(n)::bigint as n
        from post group by 1, 2),
-noun as (select *, count(*) over (partition by phrase) as doc_count from np
+noun as materialized (select *, count(*) over (partition by phrase) as doc_count from np
          qualify count(*) over (partition by phrase) >= 5)
 """.replace("\\\\", "\\")
 
 SQL_MERGE = f"""
-mc as (select coalesce(c.phrase, d.phrase) as phrase, coalesce(c.doc_count, d.doc_count) as doc_count,
+mc as materialized (select coalesce(c.phrase, d.phrase) as phrase, coalesce(c.doc_count, d.doc_count) as doc_count,
               case when c.phrase is null then 'nounphrase' when d.phrase is null then 'collocation'
                    else 'collocation+nounphrase' end as source
        from (select distinct phrase, doc_count from colloc) c
        full join (select distinct phrase, doc_count from noun) d on c.phrase = d.phrase),
 good as (select * from mc where phrase <> ''
          and not (contains(phrase, ' ') and split_part(phrase, ' ', 1) in {STOP_SQL})),
-kw as (select row_number() over (order by phrase)::varchar as kid, * from good),
+kw as materialized (select row_number() over (order by phrase)::varchar as kid, * from good),
 kp as (select kid, doc_id, n from kw join colloc using (phrase) where source <> 'nounphrase'
        union all select kid, doc_id, n from kw join noun using (phrase) where source = 'nounphrase')
 """
@@ -110,15 +110,12 @@ def docs_of(spark, sf):
 
 
 def mined(spark, sf):
-    """Phrase table and postings of ``documents``, kept for all queries of one session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MINED:
-        phrases, postings = P.mine_phrases(docs_of(spark, sf))
-        _MINED[key] = (phrases, durable(postings))
-    return _MINED[key]
+    """Phrase table and postings of ``documents``."""
+    return P.mine_phrases(docs_of(spark, sf))
 
 
-_MINED: dict = {}
+def merged_rows(spark, sf):
+    return P.collocation_rows(durable(P.word_rows(docs_of(spark, sf))))
 
 
 @query("c01_tokenize", f"with {SQL_TOKENS} select doc_id, pos::bigint as pos, term from tok")
@@ -202,17 +199,17 @@ def vocab(spark, sf):
     f"with {SQL_TOKENS},{sql_pass('tok', '1')} select a, b, n_ab, round(pmi, 6) as pmi from co1",
 )
 def colloc(spark, sf):
-    return P.collocations(durable(tokenize(docs_of(spark, sf)))).withColumn("pmi", F.round("pmi", 6))
+    return P.collocations(durable(P.word_rows(docs_of(spark, sf)))).withColumn("pmi", F.round("pmi", 6))
 
 
 @query(
     "c09_merge_collocations",
     f"""with {SQL_TOKENS},{sql_pass('tok', '1')},{sql_pass('mt1', '2')}
-        select doc_id, pos::bigint as pos, term from mt2""",
+        select doc_id, row_number() over (partition by doc_id order by pos) as pos, term from mt2""",
 )
 def merged_tokens(spark, sf):
-    merged = P.collocation_tokens(durable(tokenize(docs_of(spark, sf))))
-    return merged.withColumn("pos", F.col("pos").cast("long"))
+    merged = merged_rows(spark, sf).select("doc_id", F.posexplode("words").alias("pos", "term"))
+    return merged.withColumn("pos", F.col("pos").cast("long") + 1)
 
 
 @query(
@@ -220,7 +217,7 @@ def merged_tokens(spark, sf):
     f"with {SQL_TOKENS},{sql_pass('tok', '1')},{sql_pass('mt1', '2')},{SQL_TERMS} select term, n from ct",
 )
 def colloc_terms(spark, sf):
-    return P.collocation_terms(P.collocation_tokens(durable(tokenize(docs_of(spark, sf)))))
+    return P.collocation_terms(merged_rows(spark, sf))
 
 
 @query(
@@ -249,7 +246,7 @@ def trimmed(spark, sf):
 )
 def matches(spark, sf):
     docs = docs_of(spark, sf)
-    terms = P.trimmed_terms(P.collocation_terms(P.collocation_tokens(durable(tokenize(docs)))))
+    terms = P.trimmed_terms(P.collocation_terms(merged_rows(spark, sf)))
     return P.phrase_matches(terms, docs)
 
 

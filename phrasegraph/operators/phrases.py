@@ -116,42 +116,52 @@ def frequent_postings(postings: DataFrame, min_doc_count: int = MIN_DOC_COUNT) -
 
 
 # -- collocations ------------------------------------------------------------------------
+# A document stays one row with its word array, so passes move documents, not single words.
 
 
-def bigrams(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id, pos, a, b`` for neighbouring tokens of a document."""
-    order = Window.partitionBy(id_col).orderBy("pos")
-    return (
-        tokens.select(id_col, "pos", F.col("term").alias("a"), F.lead("term").over(order).alias("b"))
-        .filter(F.col("b").isNotNull())
+def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, words``: one row per document."""
+    return spread(docs.select(id_col, text_col), id_col).select(
+        F.col(id_col), word_array(F.col(text_col)).alias("words")
+    )
+
+
+def bigrams(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id, pos, a, b`` for neighbouring words, positions from 1; no shuffle."""
+    n = F.size("words")
+    pairs = F.zip_with(
+        F.slice("words", F.lit(1), F.greatest(n - 1, F.lit(0))),
+        F.slice("words", F.lit(2), F.greatest(n - 1, F.lit(0))),
+        lambda x, y: F.struct(x.alias("a"), y.alias("b")),
     )
+    found = rows.filter(n > 1).select(F.col(id_col), F.posexplode(pairs).alias("_i", "_p"))
+    return found.select(id_col, (F.col("_i") + 1).alias("pos"), F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def word_counts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def collocations(
-    tokens: DataFrame,
+    rows: DataFrame,
     id_col: str = "doc_id",
     count_min: int = COLLOCATION_COUNT_MIN,
     pmi_min: float = COLLOCATION_PMI_MIN,
-    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """``a, b, n_ab, pmi`` of neighbours seen often enough; pmi = log2(n_ab N / (n_a n_b)).
 
     The count threshold is applied before the vocabulary joins.
     """
-    pairs = bigrams(tokens, id_col) if pairs is None else pairs
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-    counted = counted.filter(F.col("n_ab") >= count_min)
-    words = token_counts(tokens)
-    total = words.agg(F.sum("n").cast("double").alias("_total"))
+    counted = bigrams(rows, id_col).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    counted = durable(counted.filter(F.col("n_ab") >= count_min))
+    words = word_counts(rows)
+    total = rows.agg(F.sum(F.size("words")).cast("double").alias("_total"))
     per_a = counted.groupBy("a").agg(F.count(F.lit(1)).alias("_w"))
     per_b = counted.groupBy("b").agg(F.count(F.lit(1)).alias("_w"))
     first = per_a.join(words.select(F.col("term").alias("a"), F.col("n").alias("n_a")), "a")
     second = per_b.join(words.select(F.col("term").alias("b"), F.col("n").alias("n_b")), "b")
-    joined = lookup(lookup(counted, first, ["a"], "_w"), second, ["b"], "_w")
+    n_pairs = counted.count()
+    joined = lookup(lookup(counted, first, ["a"], "_w", n_pairs), second, ["b"], "_w", n_pairs)
     # The total is one row.
     scored = joined.join(F.broadcast(total)).withColumn(
         "pmi", F.log2(F.col("n_ab") * F.col("_total") / (F.col("n_a") * F.col("n_b").cast("double")))
@@ -159,63 +169,70 @@ def collocations(
     return scored.filter(F.col("pmi") >= pmi_min).select("a", "b", "n_ab", "pmi")
 
 
-def merge_pairs(
-    tokens: DataFrame, found: DataFrame, id_col: str = "doc_id", pairs: DataFrame | None = None
+def merge_starts(
+    rows: DataFrame, found: DataFrame, id_col: str = "doc_id", found_rows: int | None = None
 ) -> DataFrame:
-    """Replace accepted neighbour pairs by ``a_b``, left to right and without overlap.
+    """``id, starts``: where a pair is merged, left to right and without overlap.
 
-    In a run of consecutive hits the 1st, 3rd, 5th … pair is merged. Tokens keep the position
-    of their first word.
+    In a run of consecutive hits the 1st, 3rd, 5th ... pair is merged.
     """
-    pairs = bigrams(tokens, id_col) if pairs is None else pairs
-    hits = lookup(pairs, found.select("a", "b", "n_ab"), ["a", "b"], "n_ab")
-    # Order of the hits in the token sequence, which may have gaps after a first merge.
+    hits = lookup(bigrams(rows, id_col), found.select("a", "b", "n_ab"), ["a", "b"], "n_ab", found_rows)
     order = Window.partitionBy(id_col).orderBy("pos")
-    ranked = tokens.select(
-        id_col, "pos", "term", F.row_number().over(order).alias("_k")
-    ).join(hits.select(id_col, "pos", "b"), [id_col, "pos"], "left")
-    is_hit = F.col("b").isNotNull()
-    run = F.col("_k") - F.sum(is_hit.cast("int")).over(
+    opens = F.coalesce(F.col("pos") - F.lag("pos").over(order) != 1, F.lit(True))
+    run_start = F.max(F.when(F.col("_opens"), F.col("pos"))).over(
         order.rowsBetween(Window.unboundedPreceding, 0)
     )
-    in_run = Window.partitionBy(id_col, "_run", "_hit").orderBy("pos")
-    starts = (
-        ranked.withColumn("_hit", is_hit)
-        .withColumn("_run", run)
-        .withColumn("_start", F.col("_hit") & (F.row_number().over(in_run) % 2 == 1))
-    )
-    taken = F.coalesce(F.lag("_start").over(order), F.lit(False))
     return (
-        starts.withColumn("_taken", taken)
-        .filter(~F.col("_taken"))
-        .select(
-            id_col,
-            "pos",
-            F.when(F.col("_start"), F.concat_ws("_", "term", "b")).otherwise(F.col("term")).alias("term"),
-        )
+        hits.select(id_col, "pos")
+        .withColumn("_opens", opens)
+        .withColumn("_run", run_start)
+        .filter((F.col("pos") - F.col("_run")) % 2 == 0)
+        .groupBy(id_col)
+        .agg(F.collect_list("pos").alias("starts"))
     )
 
 
-def collocation_tokens(
-    tokens: DataFrame,
+def merge_pairs(
+    rows: DataFrame, found: DataFrame, id_col: str = "doc_id", found_rows: int | None = None
+) -> DataFrame:
+    """Rewrite each document's words with accepted pairs as ``a_b``; one join per document."""
+    starts = merge_starts(rows, found, id_col, found_rows)
+    joined = rows.join(starts, id_col, "left").withColumn(
+        "starts", F.coalesce("starts", F.array().cast("array<int>"))
+    )
+    here = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: i <= F.size("words"))
+    alone = F.array_except(here, F.concat("starts", F.transform("starts", lambda i: i + 1)))
+    whole = joined.select(id_col, "words", "starts", alone.alias("_alone"))
+    word = lambda i: F.get(F.col("words"), i - 1)
+    pieces = F.concat(
+        F.transform(
+            "starts", lambda i: F.struct(i.alias("i"), F.concat_ws("_", word(i), word(i + 1)).alias("w"))
+        ),
+        F.transform("_alone", lambda i: F.struct(i.alias("i"), word(i).alias("w"))),
+    )
+    sorted_rows = whole.select(id_col, F.array_sort(pieces).alias("_p"))
+    return sorted_rows.select(id_col, F.col("_p.w").alias("words"))
+
+
+def collocation_rows(
+    rows: DataFrame,
     id_col: str = "doc_id",
     count_min: int = COLLOCATION_COUNT_MIN,
     pmi_min: float = COLLOCATION_PMI_MIN,
     passes: int = 2,
 ) -> DataFrame:
-    """Tokens after ``passes`` rounds of learning and merging pairs (up to 2^passes words)."""
+    """Word rows after ``passes`` rounds of learning and merging pairs (up to 2^passes words)."""
     for _ in range(passes):
-        pairs = durable(bigrams(tokens, id_col))
-        found = durable(collocations(tokens, id_col, count_min, pmi_min, pairs))
-        tokens = durable(merge_pairs(tokens, found, id_col, pairs))
-    return tokens
+        found = durable(collocations(rows, id_col, count_min, pmi_min))
+        rows = durable(merge_pairs(rows, found, id_col, found.count()))
+    return rows
 
 
 def collocation_terms(merged: DataFrame) -> DataFrame:
     """``term, n`` of merged terms not led by a determiner."""
     lead = "|".join(DETERMINERS)
-    return token_counts(
-        merged.filter(F.contains("term", F.lit("_")) & ~F.col("term").rlike(f"^({lead})_"))
+    return word_counts(merged).filter(
+        F.contains("term", F.lit("_")) & ~F.col("term").rlike(f"^({lead})_")
     )
 
 
@@ -331,14 +348,12 @@ def mine_phrases(
     stopwords: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The whole mining stage: documents to phrase table and postings."""
-    from .tokens import tokenize
-
     docs = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     spans = candidate_phrases(docs, id_col, text_col, stopwords)
     noun = durable(
         noun_side(frequent_postings(phrase_doc_counts(spans, id_col), min_doc_count), id_col, min_doc_count)
     )
-    merged = collocation_tokens(durable(tokenize(docs, id_col, text_col)), id_col)
+    merged = collocation_rows(durable(word_rows(docs, id_col, text_col)), id_col)
     terms = trimmed_terms(collocation_terms(merged), stopwords)
     colloc = durable(phrase_matches(terms, docs, id_col, text_col, min_doc_count))
     return candidate_table(colloc, noun, id_col, stopwords)
