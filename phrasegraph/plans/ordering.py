@@ -33,11 +33,11 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str, start:
     position = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (
         placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, position + F.col("_before") + F.lit(start))
-        .drop("_slot", "_part", "_before")
+        .withColumn(name, position + F.col("_offset") + F.lit(start))
+        .drop("_slot", "_part", "_offset")
     )
 
 
@@ -48,15 +48,15 @@ def running_total(
     placed = _ranged(df, order)
     totals = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     local = Window.partitionBy("_part").orderBy("_slot")
-    here = F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    here = F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_offset")
     if not inclusive:
         here = here - F.col(value)
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, here)
-        .drop("_slot", "_part", "_before")
+        .drop("_slot", "_part", "_offset")
     )
 
 
