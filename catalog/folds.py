@@ -125,11 +125,6 @@ def block_members(spark, sf):
     return FO.assign_blocks(star_edges(spark, sf))[0]
 
 
-@query("f04_large_graph_blocks")
-def large_graph_blocks(spark, sf):
-    return FO.assign_blocks(edges(spark, sf))[1]
-
-
 @query(
     "f05_tag_edges",
     f"with {SQL_GIVEN} select kw1, kw2, round(value, 6) as value, rater, block1, block2 from tg",
@@ -261,5 +256,5 @@ def fold_summary(spark, sf):
 
 @query("f15_split_summary")
 def split_summary(spark, sf):
-    """Summary of the whole split of the part-supplier graph."""
-    return FO.split(labelled(spark, sf))["summary"]
+    """Summary of the whole split of the customer components."""
+    return FO.split(star_edges(spark, sf))["summary"]

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from phrasegraph.operators import similarity as S
-from phrasegraph.plans.durable import ensure_checkpoint_dir
+from phrasegraph.plans.durable import scratch_path as scratch
 from phrasegraph.sources import tables as IO
 
 from .base import query, table
@@ -15,10 +13,6 @@ from .graphs import SQL_NOUN_TABLE, noun_table
 from .vectors import SQL_SIM, vectors
 
 
-def scratch(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("a01_documents_csv", "select doc_id::varchar as doc_id, text, lang from documents where text is not null")
 def documents_csv(spark, sf):
     path = scratch(spark, "documents")

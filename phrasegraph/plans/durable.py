@@ -1,31 +1,38 @@
-"""Cut lineage with a reliable checkpoint, so a lost executor never loses the result."""
+"""Cut lineage with a table written to the shared checkpoint folder.
+
+A written table survives the loss of any executor, carries its real size (so broadcast
+decisions rest on it) and gives the next step a plan with no history. The last point
+matters in loops: a plan that remembers its constraints grows with every round.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder named in ``spark.checkpoint.dir``; make one only for local runs."""
-    sc = spark.sparkContext
+    """The folder named in ``spark.checkpoint.dir``; one of our own only for local runs."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not sc.master.startswith("local"):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="phrasegraph-")
-    sc.setCheckpointDir(folder)
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/phrasegraph-{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and continue from the copy in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, write it, and continue from the written table."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
