@@ -175,20 +175,20 @@ def sampling_sheet(spark, sf):
     return H.sampling_sheet(canonical(spark, sf), parts)
 
 
-@query(
-    "h10_apply_flags",
-    """with ph as (select p_partkey as kid, 'P' || p_partkey as phrase, false as omit, null::boolean as method, true as thematic from part),
-            ed as (select 'P' || l_partkey as phrase, l_orderkey * 10 + l_linenumber as rn, 1 as side,
+FLAG_SQL = """with ph as (select p_partkey as kid, 'P' || p_partkey as phrase, false as omit, null::boolean as method, true as thematic from part),
+            ed as (select 'P' || l_partkey as phrase, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey as rn, 1 as side,
                           case l_returnflag when 'R' then true when 'N' then false end as omit,
                           l_linestatus = 'F' as method, case when l_quantity > 40 then false end as thematic from lineitem
                    union all
-                   select 'P' || l_suppkey, l_orderkey * 10 + l_linenumber, 2, l_tax > 0.05, null, l_discount > 0.05 from lineitem),
+                   select 'P' || l_suppkey, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey, 2, l_tax > 0.05, null, l_discount > 0.05 from lineitem),
             la as (select phrase, arg_max(omit, (rn, side)) filter (omit is not null) as omit,
                           arg_max(method, (rn, side)) filter (method is not null) as method,
                           arg_max(thematic, (rn, side)) filter (thematic is not null) as thematic from ed group by 1)
        select kid, ph.phrase, coalesce(la.omit, ph.omit) as omit, coalesce(la.method, ph.method) as method,
-              coalesce(la.thematic, ph.thematic) as thematic from ph left join la on la.phrase = ph.phrase""",
-)
+              coalesce(la.thematic, ph.thematic) as thematic from ph left join la on la.phrase = ph.phrase"""
+
+
+@query("h10_apply_flags", FLAG_SQL)
 def apply_flags(spark, sf):
     phrases = table(spark, sf, "part").select(
         F.col("p_partkey").alias("kid"),
@@ -200,11 +200,11 @@ def apply_flags(spark, sf):
     return H.apply_flags(phrases, edit_sheet(spark, sf), "row_no")
 
 
-def edit_sheet(spark, sf):
+def edit_sheet(spark, sf, *more):
     """Every line item as a submitted row: part left, supplier number right."""
     flag, nothing = F.col("l_returnflag"), F.lit(None).cast("boolean")
     return table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000000 + F.col("l_partkey")).alias("row_no"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("keyword 1"),
         F.when(flag == "R", True).when(flag == "N", False).alias("omit 1"),
         (F.col("l_linestatus") == "F").alias("method 1"),
@@ -214,6 +214,7 @@ def edit_sheet(spark, sf):
         nothing.alias("method 2"),
         (F.col("l_discount") > 0.05).alias("thematic 2"),
         (F.col("l_discount") * 10).alias("value"),
+        *more,
     )
 
 
