@@ -35,7 +35,7 @@ def _accented_letters() -> dict[str, str]:
 def strip_boilerplate(col: Column, patterns: Sequence[str]) -> Column:
     """Replace the first match of each pattern by one space."""
     for pattern in patterns:
-        col = F.regexp_replace(col, f"(?s)^(.*?)(?:{pattern})", "$1 ")
+        col = F.array_join(F.split(col, pattern, 2), " ")
     return col
 
 
@@ -45,12 +45,12 @@ def drop_soft_hyphens(col: Column) -> Column:
 
 def join_line_hyphens(col: Column) -> Column:
     """Join words hyphenated over a line break, letters on both sides."""
-    return F.regexp_replace(col, r"(?U)(?<=\p{L})-\s*\r?\n\s*(?=\p{L})", "")
+    return F.regexp_replace(col, r"(?U)-(?<=\p{L}-)\s*\r?\n\s*(?=\p{L})", "")
 
 
 def join_gap_hyphens(col: Column) -> Column:
     """Join words hyphenated before two or more blanks, letters on both sides."""
-    return F.regexp_replace(col, r"(?U)(?<=\p{L})-\s{2,}(?=\p{L})", "")
+    return F.regexp_replace(col, r"(?U)-(?<=\p{L}-)\s{2,}(?=\p{L})", "")
 
 
 def flatten_newlines(col: Column) -> Column:
@@ -63,11 +63,10 @@ def squish(col: Column) -> Column:
 
 
 def pad_parentheses(col: Column) -> Column:
-    return F.regexp_replace(col, r"([()])", " $1 ")
+    return F.replace(F.replace(col, F.lit("("), F.lit(" ( ")), F.lit(")"), F.lit(" ) "))
 
 
-def fold_to_ascii(col: Column) -> Column:
-    """Accented Latin letters and typographic marks to ASCII; drop what has no ASCII form."""
+def _fold(col: Column) -> Column:
     single = {**_accented_letters(), **ASCII_CHARS}
     col = F.translate(col, "".join(single), "".join(single.values()))
     for mark, form in ASCII_FORMS.items():
@@ -75,12 +74,23 @@ def fold_to_ascii(col: Column) -> Column:
     return F.regexp_replace(col, r"[^\x00-\x7F]", "")
 
 
+def fold_to_ascii(col: Column) -> Column:
+    """Accented Latin letters and typographic marks to ASCII; drop what has no ASCII form.
+
+    A text with as many bytes as characters is ASCII already and is not touched.
+    """
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(_fold(col))
+
+
 def clean_text(col: Column, patterns: Sequence[str] = ()) -> Column:
-    """The whole cleaning chain as one expression."""
+    """The whole cleaning chain as one expression.
+
+    Squishing also flattens line breaks, and after it only plain blanks are left to collapse.
+    """
     col = strip_boilerplate(col, patterns)
-    col = join_gap_hyphens(join_line_hyphens(drop_soft_hyphens(col)))
-    col = pad_parentheses(squish(flatten_newlines(col)))
-    return squish(fold_to_ascii(flatten_newlines(col)))
+    col = squish(join_gap_hyphens(join_line_hyphens(drop_soft_hyphens(col))))
+    col = fold_to_ascii(pad_parentheses(col))
+    return F.trim(F.regexp_replace(col, " {2,}", " "))
 
 
 def truncate(col: Column, max_chars: int) -> Column:
