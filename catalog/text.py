@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phrasegraph.functions import text as T
+from phrasegraph.operators.cleaning import clean_documents
 
 from .base import query, table
 
@@ -83,7 +84,10 @@ _text_query(
 )
 _text_query("b07_pad_parentheses", T.pad_parentheses, sql_parens("text"))
 _text_query("b08_fold_to_ascii", T.fold_to_ascii, sql_ascii("text"))
-_text_query("b09_clean_text", lambda c: T.clean_text(c, PATTERNS), sql_clean("text"))
+@query("b09_clean_text", f"select doc_id, {sql_clean('text')} as text_out from documents where text is not null")
+def clean(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return clean_documents(docs, patterns=PATTERNS).select("doc_id", F.col("text_clean").alias("text_out"))
 
 
 @query(
