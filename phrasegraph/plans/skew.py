@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A dimension of at most this many counted rows may be broadcast.
-BROADCAST_ROWS = 200_000
+from .durable import durable
 
-#: Number of heaviest keys taken out of the shuffle. Whatever remains holds at most
-#: 1/HEAVY_KEYS of the rows per key.
-HEAVY_KEYS = 1_000
+#: A dimension counted to have at most this many rows joins plainly; Spark picks the strategy.
+SMALL_ROWS = 200_000
+
+#: A key is heavy when it holds more than 1/HEAVY_SHARE of the rows, so there are fewer
+#: heavy keys than this, whatever the size of the data.
+HEAVY_SHARE = 1_000
 
 
 def lookup(
@@ -19,21 +21,35 @@ def lookup(
     keys: list[str],
     weight: str,
     dim_rows: int | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner equi-join of ``big`` with ``dim`` (one row per key, ``weight`` = rows in ``big``).
+    """Equi-join of ``big`` with ``dim``; ``weight`` in ``dim`` is the key's row count in ``big``.
 
-    A dimension whose counted size is small is broadcast. Otherwise its heaviest keys, a
-    fixed number of rows, are broadcast and the rest joins by shuffle. ``weight`` is dropped.
+    ``dim`` is written once, so both sides are read once and Spark broadcasts it only by its
+    real size. Rows of a heavy key are spread over salts in proportion to its weight and the
+    few ``dim`` rows of that key are repeated once per salt. Only heavy keys (fewer than
+    ``HEAVY_SHARE``, no payload) are broadcast. ``how`` is ``inner`` or ``left``; null keys
+    match nothing. ``weight`` is dropped. A dimension that the caller has counted (``dim_rows``)
+    and found small is left to Spark's own choice of join.
     """
-    if dim_rows is not None and dim_rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(dim.drop(weight)), keys)
-    heavy = dim.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)
-    heavy_keys = heavy.select(*keys)
-    hot = big.join(F.broadcast(heavy.drop(weight)), keys)
-    cold = big.join(F.broadcast(heavy_keys), keys, "left_anti").join(
-        dim.drop(weight).join(F.broadcast(heavy_keys), keys, "left_anti"), keys
+    if dim_rows is not None and dim_rows <= SMALL_ROWS:
+        return big.join(dim.drop(weight), keys, how)
+    dim = durable(dim)
+    per_key = dim.groupBy(*keys).agg(F.max(weight).alias("_w"))
+    total = per_key.agg(F.sum("_w").alias("_total"))
+    heavy = (
+        per_key.join(F.broadcast(total))
+        .filter(F.col("_w") * HEAVY_SHARE > F.col("_total"))
+        .select(*keys, F.ceil(F.col("_w") * HEAVY_SHARE / F.col("_total")).cast("int").alias("_salts"))
     )
-    return hot.unionByName(cold)
+    heavy = F.broadcast(heavy)
+    # The salt is a function of the row, so a task that runs again deals its rows alike.
+    spread = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*spread), F.col("_salts"))).otherwise(0)
+    salted = big.join(heavy, keys, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    repeated = dim.drop(weight).join(heavy, keys, "left").withColumn("_salt", copies).drop("_salts")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def grouped_pairs(

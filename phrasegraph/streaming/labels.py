@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import norm_rater
 from ..operators.sampling import FLAGS, pair_key
-from ..plans.skew import BROADCAST_ROWS
+from ..plans.skew import SMALL_ROWS
 
 
 def submissions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -62,7 +62,7 @@ def stream_used_pairs(
     value = F.col("value").cast("double")
     labels = labels.filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
     kids = phrases.select("phrase", "kid")
-    if kids.count() <= BROADCAST_ROWS:
+    if kids.count() <= SMALL_ROWS:
         kids = F.broadcast(kids)
     first = kids.withColumnsRenamed({"phrase": "keyword 1", "kid": "_a"})
     second = kids.withColumnsRenamed({"phrase": "keyword 2", "kid": "_b"})

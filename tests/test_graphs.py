@@ -122,7 +122,7 @@ def test_cooccurrence_blocks(spark):
 
 
 def test_lookup_with_heavy_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HEAVY_KEYS", 2)
+    monkeypatch.setattr(skew, "HEAVY_SHARE", 2)
     big = spark.createDataFrame([(i % 9 if i < 50 else 0, i) for i in range(90)], "k long, v long")
     dim = big.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "k * 10 as x", "n")
     got = skew.lookup(big, dim, ["k"], "n").collect()
