@@ -12,6 +12,7 @@ from .common import table
 from .exact import exact_duplicates, normalised
 from .lines import drop_repeated_lines
 from .sharding import assign_shards
+from .urls import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,20 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(hashed, digest="text_sha256")
 
 
+#: The agreed rules: host, path, verdict (fixed values).
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query("op7_url_filters", sql.urls(URL_RULES))
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
 @query("op10_sharding", sql.sharding(shards=8, seed=42))
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(table(spark, sf_dir, "documents"), shards=8, seed=42)

@@ -70,3 +70,25 @@ def sharding(shards: int, seed: int) -> str:
         f" (y % {shards})::int as shard, y // {shards} as slot, null::int as grown_shard"
         " from numbered join placed using (number) join sums using (doc_id)"
     )
+
+
+def urls(rules: list[tuple[str, str, str]], default: str = "allow") -> str:
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    return rf"""
+with rules(host, path, verdict) as (values {values}),
+u as (
+  select page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages
+),
+best as (
+  select u.host, u.path, arg_max(r.host || r.path, length(r.host) + length(r.path)) as rule,
+         arg_max(r.verdict, length(r.host) + length(r.path)) as verdict
+  from (select distinct host, path from u) u join rules r
+    on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path)
+  group by 1, 2
+)
+select page_id, host, path, rule, coalesce(verdict, '{default}') as verdict
+from u left join best using (host, path)
+"""
