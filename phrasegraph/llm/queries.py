@@ -11,6 +11,7 @@ from . import sql
 from .common import table
 from .exact import exact_duplicates, normalised
 from .lines import drop_repeated_lines
+from .minhash import near_duplicates
 from .sharding import assign_shards
 from .urls import judge_urls, rule_table
 
@@ -30,6 +31,12 @@ def query(name: str, statement: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op3_minhash", sql.NEAR)
+def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op4_line_dedup", sql.LINES)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_repeated_lines(table(spark, sf_dir, "documents"))

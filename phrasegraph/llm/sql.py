@@ -31,6 +31,32 @@ g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group b
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from t join g using (norm)
 """
 
+#: Sets as word lists; every pair that shares a shingle is counted, then links are followed.
+NEAR = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents
+),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from words where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+shared as (
+  select a.doc_id as u, b.doc_id as v, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+),
+near as (
+  select u, v from shared join sizes x on x.doc_id = u join sizes y on y.doc_id = v
+  where 100 * c >= 85 * (x.n + y.n - c)
+),
+sym as (select u, v from near union select v, u from near),
+reach(id, other) as (select u, u from sym union select r.id, s.v from reach r join sym s on s.u = r.other),
+comp as (select id as doc_id, min(other) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id,
+       coalesce(component_id, doc_id) = doc_id as kept
+from documents left join sizes using (doc_id) left join comp using (doc_id)
+"""
+
 
 def sharding(shards: int, seed: int) -> str:
     """Row numbers, the same rounds one after the other over the whole domain, then the walk."""
