@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -108,30 +108,44 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("_id", "_t").mapInArrow(run, "_id long, _set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``id1, id2`` with ``100 * |intersection| >= percent * |union|`` on full sets."""
+def compared(pairs: DataFrame, sets: DataFrame, deltas: bool = False) -> DataFrame:
+    """``id1, id2, same, n1, n2`` for ``pairs(id1, id2)``: exact overlap and sizes of the full sets.
+
+    With ``deltas`` also ``novel`` and ``missing``: the shingles of id2 that id1 lacks, and the reverse.
+    """
     per_first = pairs.groupBy("id1").agg(F.count(F.lit(1)).alias("_n"))
     per_second = pairs.groupBy("id2").agg(F.count(F.lit(1)).alias("_n"))
     first = sets.select(F.col("_id").alias("id1"), F.col("_set").alias("_set1")).join(per_first, "id1")
     second = sets.select(F.col("_id").alias("id2"), F.col("_set").alias("_set2")).join(per_second, "id2")
-    both = lookup(lookup(pairs, first, ["id1"], "_n"), second, ["id2"], "_n")
+    both = lookup(lookup(pairs.select("id1", "id2"), first, ["id1"], "_n"), second, ["id2"], "_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, left_at = utf8_bytes(batch.column(2))
             right, right_at = utf8_bytes(batch.column(3))
-            keep = np.zeros(len(batch), bool)
+            same = np.zeros(len(batch), np.int64)
+            novel, missing = [], []
             for i in range(len(batch)):
                 x = left[left_at[i] : left_at[i + 1]].view(np.uint64)
                 y = right[right_at[i] : right_at[i + 1]].view(np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                same = int((y[at] == x).sum())
-                keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
-            yield batch.filter(pa.array(keep)).select([0, 1])
+                hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                same[i] = hit.sum()
+                if deltas:
+                    novel.append(y[~hit].tobytes())
+                    back = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                    missing.append(x[~back].tobytes())
+            out = [batch.column(0), batch.column(1), pa.array(same)]
+            out += [pa.array(np.diff(left_at) // 8), pa.array(np.diff(right_at) // 8)]
+            out += [pa.array(novel, pa.binary()), pa.array(missing, pa.binary())] if deltas else []
+            yield pa.record_batch(out, names)
+
+    schema = "id1 long, id2 long, same long, n1 long, n2 long" + (", novel binary, missing binary" if deltas else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return both.select("id1", "id2", "_set1", "_set2").mapInArrow(run, schema)
 
-    return both.select("id1", "id2", "_set1", "_set2").mapInArrow(run, "id1 long, id2 long")
+
+def linked(percent: int) -> Column:
+    return F.col("same") * 100 >= (F.col("n1") + F.col("n2") - F.col("same")) * percent
 
 
 def _size_fits(n1: str, n2: str, percent: int):
@@ -157,11 +171,13 @@ def near_duplicates(
        smallest id, so copies never meet in a bucket.
     2. A text stays a candidate only while a half-key of either collection occurs twice; only
        then are its ``rows ** 2`` table keys formed.
-    3. Each bucket is tied to the member that shares most buckets with others, one pair per
-       member. Confirmed pairs give components.
-    4. Members that the leaders left in other components are compared with the rest of their
-       buckets. Every bucket pair of two components is confirmed, so no
-       link is lost; pairs inside a component are never formed.
+    3. The member that shares most buckets with others leads each bucket, and each member is
+       compared with the leaders of its buckets. Confirmed pairs give components.
+    4. Members that stayed outside their leader's component may still be linked with other
+       members of the bucket. Such pairs are found through their differences from the common leader,
+       which must overlap in more than half of one of them (see ``_rest_pairs``); so edited copies
+       of one text, each with edits of its own, do not meet each other. Pairs inside a component
+       are never formed.
 
     ``n_links`` counts confirmed links of a set's representative, 0 for others. Null or empty
     text has an empty set and is linked with nothing. Rows that repeat an id with different
@@ -190,15 +206,16 @@ def near_duplicates(
         .select(F.col("_rep").alias("src"), F.col("_id").alias("dst"))
     )
     members = durable(_bucket_members(groups, tensor))
-    leaders = durable(_leader_pairs(members, percent))
-    texts = known.filter("_t <> ''")
-    wanted = durable(leaders.select(F.col("id1").alias("_id")).union(leaders.select("id2")).distinct())
-    sets = durable(shingle_sets(texts.join(wanted, "_id", "left_semi"), size).dropDuplicates(["_id"]))
-    links = durable(confirmed(leaders.select("id1", "id2"), sets, percent))
+    leaders = durable(_leader_pairs(members))
+    wanted = durable(members.select(F.col("id").alias("_id")).distinct())
+    texts = known.filter("_t <> ''").join(wanted, "_id", "left_semi")
+    sets = durable(shingle_sets(texts, size).dropDuplicates(["_id"]))
+    tied = durable(compared(leaders, sets, deltas=True))
+    links = tied.filter(linked(percent)).select("id1", "id2")
     parts = durable(connected_components(links, "id1", "id2"))
-    rest = durable(_rest_pairs(members, parts, leaders, percent))
-    more = durable(confirmed(rest, sets, percent))
-    links = links.unionByName(more)
+    rest = durable(_rest_pairs(durable(_with_references(tied, sets)), parts, percent))
+    links = links.unionByName(compared(rest, sets).filter(linked(percent)).select("id1", "id2"))
+    links = durable(links.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct())
     edges = links.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).unionByName(copies)
     final = durable(connected_components(edges))
     degree = (
@@ -232,7 +249,7 @@ def near_duplicates(
 
 
 def _bucket_members(groups: DataFrame, tensor: Tensor) -> DataFrame:
-    """``key, id, n, size`` of table keys that at least two sets hold; ``size`` is how many."""
+    """``key, id, size`` of table keys that at least two sets hold; ``size`` is how many."""
     def shared(side: str) -> DataFrame:
         keys = groups.select(F.col("_rep").alias("id"), F.posexplode(side).alias("pos", "half"))
         often = keys.groupBy("pos", "half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -243,57 +260,150 @@ def _bucket_members(groups: DataFrame, tensor: Tensor) -> DataFrame:
     a, b = durable(shared("_a")), durable(shared("_b"))
     pairs = (
         a.join(b, "id")
-        .join(groups.select(F.col("_rep").alias("id"), F.col("n_shingles").alias("n")), "id")
-        .select("id", "n", "_b", F.explode("_a").alias("_x"))
-        .select("id", "n", "_x", F.explode("_b").alias("_y"))
-        .select("id", "n", F.xxhash64("_x.pos", "_x.half", "_y.pos", "_y.half").alias("key"))
+        .select("id", "_b", F.explode("_a").alias("_x"))
+        .select("id", "_x", F.explode("_b").alias("_y"))
+        .select("id", F.xxhash64("_x.pos", "_x.half", "_y.pos", "_y.half").alias("key"))
     )
     pairs = durable(pairs)
     often = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return lookup(pairs, often.withColumn("size", F.col("_n")), ["key"], "_n").select("key", "id", "n", "size")
+    return lookup(pairs, often.withColumn("size", F.col("_n")), ["key"], "_n").select("key", "id", "size")
 
 
-def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``id1 < id2, n1, n2`` of each bucket's leader with its other members."""
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket's leader ``id1`` with another member ``id2``."""
     weight = members.groupBy("id").agg(F.sum("size").alias("_w"))
-    ranked = members.join(weight, "id")
-    leader = ranked.groupBy("key").agg(
-        F.max(F.struct("_w", (-F.col("id")).alias("_o"), "n")).alias("_top"), F.max("size").alias("_n")
+    leader = (
+        members.join(weight, "id")
+        .groupBy("key")
+        .agg(F.max(F.struct("_w", (-F.col("id")).alias("_o"))).alias("_top"), F.max("size").alias("_n"))
+        .select("key", (-F.col("_top._o")).alias("id1"), "_n")
     )
-    leader = leader.select("key", (-F.col("_top._o")).alias("_leader"), F.col("_top.n").alias("_ln"), "_n")
-    tied = lookup(members.select("key", "id", "n"), leader, ["key"], "_n").filter("id <> _leader")
-    tied = tied.filter(_size_fits("n", "_ln", percent))
-    return tied.select(F.least("id", "_leader").alias("id1"), F.greatest("id", "_leader").alias("id2")).distinct()
-
-
-def _rest_pairs(members: DataFrame, parts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``id1 < id2`` that share a bucket, lie in different components and are not ``done``."""
-    labelled = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = durable(labelled.select("key", "id", "n", "component"))
-    per_part = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_c"))
-    split = (
-        per_part.groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("_parts"),
-            F.sum("_c").alias("_n"),
-            F.max(F.struct("_c", (-F.col("component")).alias("_o"))).alias("_top"),
-        )
-        .filter("_parts > 1")
-        .select("key", "_n", (-F.col("_top._o")).alias("_main"))
+    met = lookup(members.select("key", F.col("id").alias("id2")), leader, ["key"], "_n")
+    return met.filter("id1 <> id2").select("id1", "id2").distinct()
+
+
+def _with_references(tied: DataFrame, sets: DataFrame) -> DataFrame:
+    """``tied`` with each leader replaced by the text it resembles most among the leaders above it.
+
+    A bucket that the original of many edited copies is not in has one of the copies as leader; measured from
+    the original, the differences of its members are small and their own again. Any text may
+    serve as reference, so this changes the work and not the result; below half similarity
+    the bucket's own leader stays.
+    """
+    alike = F.col("same") / (F.col("n1") + F.col("n2") - F.col("same"))
+    above = (
+        tied.withColumn("_j", alike)
+        .filter("_j >= 0.5")
+        .groupBy(F.col("id2").alias("id1"))
+        .agg(F.max(F.struct("_j", F.col("id1").alias("ref"))).alias("_top"))
+        .select("id1", "_top.ref")
+    )
+    wanted = (
+        tied.select("id1", "id2")
+        .join(above, "id1", "left")
+        .select(F.coalesce("ref", "id1").alias("id1"), "id2")
+        .filter("id1 <> id2")
+        .distinct()
     )
-    mixed = durable(lookup(labelled, split.withColumn("_rows", F.col("_n")), ["key"], "_n"))
-    outer = mixed.filter("component <> _main").select(
-        "key",
-        F.col("id").alias("_id2"),
-        F.col("n").alias("_n2"),
-        F.col("component").alias("_component2"),
-        "_rows",
+    wanted = durable(wanted)
+    known = tied.join(wanted, ["id1", "id2"], "left_semi")
+    fresh = durable(wanted.join(tied.select("id1", "id2"), ["id1", "id2"], "left_anti"))
+    return known.unionByName(compared(fresh, sets, deltas=True))
+
+
+def _lonely_elements(rows: DataFrame) -> DataFrame:
+    """``lead, id, alone``: how many elements of a difference no other member of the cluster has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column in (2, 3):
+                data, at = utf8_bytes(batch.column(column))
+                row = pa.array(np.repeat(np.arange(len(batch)), np.diff(at) // 8))
+                yield pa.record_batch(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(data.view(np.int64))], ["lead", "id", "h"]
+                )
+
+    elements = rows.select("lead", "id", "novel", "missing").mapInArrow(run, "lead long, id long, h long")
+    owners = elements.groupBy("lead", "h").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("id"))
+    return owners.filter("_c = 1").groupBy("lead", "id").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _rest_pairs(tied: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``id1 < id2`` of different components that follow one leader and may be linked.
+
+    Let dx and dy be the symmetric differences of x and y from their leader l. Theirs from each other has
+    ``|dx| + |dy| - 2 |dx & dy|`` elements, and a link needs at most ``r * (nx + ny)`` with
+    ``r = (100 - percent) / (100 + percent)``. One of the two, x, is outside the leader's component,
+    so ``|dx| > r * (nx + nl)`` and ``|dx & dy| > v = (|dy| + r * (nl - ny)) / 2``. Hence any
+    ``|dy| - floor(v)`` elements of dy, in whatever order, contain one of dx. Elements that the leader
+    lacks come first: edits make them, and others seldom share them. Before that, members are left
+    out whose difference shares too little with anyone in the cluster to reach these bounds.
+    """
+    label = parts.select(F.col("id").alias("id2"), F.col("component").alias("part2"))
+    lead = parts.select(F.col("id").alias("id1"), F.col("component").alias("part1"))
+    rows = tied.join(label, "id2", "left").join(lead, "id1", "left")
+    rows = rows.select(
+        F.col("id1").alias("lead"),
+        F.col("id2").alias("id"),
+        F.coalesce("part2", "id2").alias("part"),
+        (F.coalesce("part2", "id2") != F.coalesce("part1", "id1")).alias("outside"),
+        F.col("n1").alias("n_lead"),
+        F.col("n2").alias("n"),
+        "novel",
+        "missing",
+    )
+    rows = durable(rows)
+    # A cluster needs someone outside and, besides that member and the leader, one more.
+    open_leads = (
+        rows.groupBy("lead")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("outside").alias("_any"))
+        .filter("_any and _n > 1")
+    )
+    rows = lookup(rows, open_leads.drop("_any"), ["lead"], "_n")
+    fraction = 2 * (100 + percent)
+    rows = rows.withColumn("d", F.expr("(octet_length(novel) + octet_length(missing)) div 8"))
+    rows = durable(rows.join(_lonely_elements(rows), ["lead", "id"], "left"))
+    # What x or y shares with any member bounds what they share with each other.
+    shared = F.col("d") - F.coalesce("alone", F.lit(0))
+    v = (F.col("d") * (100 + percent) + (F.col("n_lead") - F.col("n")) * (100 - percent)) / fraction
+    partner = F.floor(F.col("n") * 100 / percent) + 1
+    most = F.ceil((F.col("n") + partner) * (100 - percent) / (100 + percent))
+    rows = rows.withColumn("outside", F.col("outside") & (shared >= F.col("d") - most))
+    rows = rows.withColumn("near", shared >= F.floor(v)).filter("near or outside")
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                novel, novel_at = utf8_bytes(part.column(5))
+                missing, missing_at = utf8_bytes(part.column(6))
+                n_lead, n = part.column(3).to_numpy(), part.column(4).to_numpy()
+                near = part.column(8).to_numpy(zero_copy_only=False)
+                tokens, first = [], []
+                for i in range(len(part)):
+                    d = np.concatenate([novel[novel_at[i] : novel_at[i + 1]], missing[missing_at[i] : missing_at[i + 1]]])
+                    d = d.view(np.int64)
+                    v = (len(d) * (100 + percent) + (100 - percent) * (int(n_lead[i]) - int(n[i]))) // fraction
+                    tokens.append(d)
+                    first.append((np.arange(len(d)) < len(d) - v) & near[i])
+                sizes = np.array([len(x) for x in tokens])
+                row = np.repeat(np.arange(len(part)), sizes)
+                flat, lead_in = np.concatenate(tokens), np.concatenate(first)
+                picked = part.select([0, 1, 2, 4]).take(pa.array(row))
+                outside = part.column(7).take(pa.array(row))
+                yield pa.record_batch([*picked.columns, outside, pa.array(lead_in), pa.array(flat)], names)
+
+    schema = "lead long, id long, part long, n long, outside boolean, early boolean, h long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = ["lead", "id", "part", "n_lead", "n", "novel", "missing", "outside", "near"]
+    tokens = durable(rows.select(*columns).mapInArrow(elements, schema).filter("early or outside"))
+    early = tokens.filter("early").select("lead", "h", "id", "part", "n")
+    often = early.groupBy("lead", "h").agg(F.count(F.lit(1)).alias("_n"))
+    outer = tokens.filter("outside").select(
+        "lead", "h", F.col("id").alias("_id2"), F.col("part").alias("_part2"), F.col("n").alias("_n2")
     )
-    inner = mixed.select("key", "id", "n", "component", (F.col("component") == F.col("_main")).alias("_is_main"))
-    met = lookup(inner, outer, ["key"], "_rows").filter(
-        (F.col("component") != F.col("_component2"))
-        & (F.col("_is_main") | (F.col("id") < F.col("_id2")))
-        & _size_fits("n", "_n2", percent)
+    outer = outer.join(often, ["lead", "h"])
+    met = lookup(early, outer, ["lead", "h"], "_n").filter(
+        (F.col("part") != F.col("_part2")) & _size_fits("n", "_n2", percent)
     )
-    pairs = met.select(F.least("id", "_id2").alias("id1"), F.greatest("id", "_id2").alias("id2")).distinct()
-    return pairs.join(done.select("id1", "id2"), ["id1", "id2"], "left_anti")
+    return met.select(F.least("id", "_id2").alias("id1"), F.greatest("id", "_id2").alias("id2")).distinct()
