@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import language, sql, toxicity
 from .common import table
 from .exact import exact_duplicates, normalised
 from .lines import drop_repeated_lines
@@ -31,6 +31,11 @@ def query(name: str, statement: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_predict(table(spark, sf_dir, "documents"))
+
+
 @query("op3_minhash", sql.NEAR)
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -50,6 +55,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(hashed, digest="text_sha256")
 
 
+@query("op6_toxicity")
+def toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The agreed rules: host, path, verdict (fixed values).
 URL_RULES = [
     ("net", "/", "block"),
