@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import language, sql, toxicity
 from .common import table
+from .decontaminate import find_leaks
 from .exact import exact_duplicates, normalised
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
+from .mixing import mix
 from .sharding import assign_shards
 from .urls import judge_urls, rule_table
 
@@ -31,6 +33,21 @@ def query(name: str, statement: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_mixing", sql.MIXING)
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select(
+        "doc_id",
+        F.col("mix_source").alias("source"),
+        F.col("mix_lang").alias("lang"),
+        F.col("mix_topic").alias("topic"),
+        F.col("mix_tokens").alias("tokens"),
+        F.round("mix_weight", 6).alias("weight"),
+        F.round("mix_probability", 6).alias("probability"),
+        F.col("mix_sampled").alias("sampled"),
+    )
+
+
 @query("op2_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_predict(table(spark, sf_dir, "documents"))
@@ -74,6 +91,11 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+@query("op9_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_sharding", sql.sharding(shards=8, seed=42))
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(table(spark, sf_dir, "documents"), shards=8, seed=42)

@@ -1,3 +1,9 @@
-"""Importing the query module fills the registry."""
+"""Importing the query module and the pipeline fills the registry."""
 
-from .queries import QUERIES, SQL  # noqa: F401
+import corpus_pipeline
+
+from .queries import QUERIES, SQL
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import SEED, SWEEPS, TEMPERATURES
 from .sharding import PRIME, round_keys
 
 #: The agreed white space for strip, as a DuckDB string.
@@ -118,3 +119,43 @@ best as (
 select page_id, host, path, rule, coalesce(verdict, '{default}') as verdict
 from u left join best using (host, path)
 """
+
+
+def _mixing() -> str:
+    """Every sweep is three statements, one per margin."""
+    ctes = [
+        r"""keyed as (
+  select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'unknown') as lang,
+         case when contains(text, ' | ') then 'table' when contains(text, 'License') then 'legal'
+              when contains(text, '@') then 'contact' else 'prose' end as topic,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as tokens
+  from documents)""",
+        "cells as (select source, lang, topic, sum(tokens)::double as mass from keyed group by all)",
+        "total as (select sum(mass) as total from cells)",
+    ]
+    for name, power in TEMPERATURES.items():
+        ctes.append(
+            f"t_{name} as materialized (select {name}, pow(sum(mass), {power}) as p from cells group by 1 having sum(mass) > 0)"
+        )
+        ctes.append(f"w_{name} as materialized (select {name}, p / (select sum(p) from t_{name}) as target from t_{name})")
+    ctes.append("m0 as materialized (select *, mass as m from cells)")
+    step = 0
+    for _ in range(SWEEPS):
+        for name in TEMPERATURES:
+            ctes.append(
+                f"m{step + 1} as materialized (select m{step}.* exclude (m), coalesce(m * case when sum(m) over (partition by m{step}.{name}) > 0"
+                f" then target * total / sum(m) over (partition by m{step}.{name}) end, m) as m"
+                f" from m{step} left join w_{name} using ({name}), total)"
+            )
+            step += 1
+    ctes.append(f"f as (select *, case when mass > 0 then m / mass else 0 end as factor from m{step})")
+    ctes.append("p as (select *, factor / (select nullif(max(factor), 0) from f) as share from f)")
+    return (
+        "with " + ",\n".join(ctes) + "\nselect doc_id, source, lang, topic, tokens, round(factor, 6) as weight,"
+        " round(coalesce(share, 0), 6) as probability,"
+        f" ('0x' || md5('{SEED}|' || doc_id)[1:13])::bigint / 4503599627370496.0 < coalesce(share, 0) as sampled"
+        " from keyed join p using (source, lang, topic)"
+    )
+
+
+MIXING = _mixing()
