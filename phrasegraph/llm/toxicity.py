@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from .common import text_of
 
 # The seed words of the grammar.
@@ -220,8 +221,11 @@ def fit(
     truth = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     n = truth.count()
     parts = max(1, math.ceil(n / max_rows))
-    picked = truth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")).join(picked, "_id")
+    drawn = F.pmod(F.xxhash64("_id"), F.lit(parts)) == 0
+    picked = truth.select(F.col("doc_id").cast("long").alias("_id"), "_y").filter(drawn)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")).filter(drawn)
+    # The draw runs on both sides of the join, so only about max_rows texts move; they are read three times.
+    rows = durable(texts.join(picked, "_id"))
     counts = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     model = Model()
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
