@@ -15,6 +15,7 @@ from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import assign_shards
+from .suffixes import drop_repeats
 from .urls import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,12 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+@query("op8_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
