@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,10 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Bytes of text whose words a task holds at a time.
+SLICE = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,6 +39,17 @@ def utf8_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece has at most ``most`` bytes of text, or is one row."""
+    for batch in batches:
+        _, offsets = utf8_bytes(batch.column(column))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..plans.durable import durable
 from ..plans.skew import lookup
-from .common import fixed_words, lists, mix64, text_of, utf8_bytes
+from .common import fixed_words, lists, mix64, slices, text_of, utf8_bytes
 from .shingles import text_shingles
 
 #: Shingles hashed at a time.
@@ -49,7 +49,7 @@ def signatures(docs: DataFrame, size: int, tensor: Tensor) -> DataFrame:
     factors = fixed_words(22, 2 * per_side) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             data, offsets = utf8_bytes(batch.column(1))
             found, made = text_shingles(data, offsets, size)
             bounds = np.concatenate([[0], np.cumsum(made)])
@@ -96,7 +96,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """``_id, _set`` of ``docs(_id, _t)``: the sorted distinct hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             data, offsets = utf8_bytes(batch.column(1))
             found, made = text_shingles(data, offsets, size)
             bounds = np.concatenate([[0], np.cumsum(made)])
