@@ -29,6 +29,8 @@ def text_of(column: str) -> Column:
 
 def utf8_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All strings of an Arrow column as one byte array and ``n + 1`` offsets; null is empty."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if values.null_count:
         values = values.fill_null("" if not pa.types.is_binary(values.type) else b"")
     wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
