@@ -165,7 +165,7 @@ def repaired_spans(spark, sf):
 @query(
     "c04_normalize_phrase",
     rf"""with t as (select item_id, unnest(string_split(text, '.')) as p from benchmark),
-              n as (select item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p)),
+              n as (select item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(p, '^\s+|\s+$', '', 'g')),
                     '^({LEAD})\s+', ''), '[^a-z0-9\- ]', '', 'g'), '\s+', ' ', 'g')) as phrase from t)
          select item_id, phrase, len(regexp_extract_all(phrase, '[^\s-]+'))::bigint as n_words from n
          where len(regexp_extract_all(phrase, '[^\s-]+')) >= 2""",

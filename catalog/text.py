@@ -125,10 +125,10 @@ def text_lengths(spark, sf):
 @query(
     "b12_norm_rater",
     """select event_id, upper(trim(coalesce(case when event_id % 7 = 0 then null
-              else '  ' || event_type || ' ' end, ''))) as rater from events""",
+              else chr(9) || ' ' || event_type || ' ' || chr(10) end, ''), ' ' || chr(9) || chr(10) || chr(13))) as rater from events""",
 )
 def norm_rater(spark, sf):
-    raw = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")))
+    raw = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("\t "), F.col("event_type"), F.lit(" \n")))
     return table(spark, sf, "events").select("event_id", T.norm_rater(raw).alias("rater"))
 
 

@@ -111,7 +111,7 @@ def blank_if_null(col: Column) -> Column:
 
 
 def norm_rater(col: Column) -> Column:
-    return F.upper(F.trim(blank_if_null(col)))
+    return F.upper(F.regexp_replace(blank_if_null(col), r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
 
 
 def spaces_for_hyphens(col: Column) -> Column:

@@ -244,14 +244,14 @@ def genericity(df: DataFrame, fit: Projection, id_col: str = "id", vec_col: str
     return one.join(centroid_similarity(df, id_col, vec_col), id_col)
 
 
-def removal_sweep(df: DataFrame, r_max: int = 4, k: int = 10, sample: int = 10_000, seed: int = 42) -> DataFrame:
+def removal_sweep(df: DataFrame, r_max: int = 4, k: int = 10, sample: int | None = None, seed: int = 42) -> DataFrame:
     """Per number ``r`` of removed components: hub and neighbour-overlap summary against r = 0.
 
     All variants run as one nearest-neighbour job. ``df`` is ``id, vec``.
     """
     df = durable(df)
     fit = fit_pca(df, r_max)
-    kept = sample_rows(df, sample, seed)
+    kept = df if sample is None else sample_rows(df, sample, seed)
     variants = None
     for r in range(r_max + 1):
         one = remove_top_pcs(kept, fit, r).select(F.lit(r).alias("r"), "id", "vec")
@@ -265,14 +265,14 @@ def removal_sweep(df: DataFrame, r_max: int = 4, k: int = 10, sample: int = 10_0
 
 
 def keep_sweep(
-    df: DataFrame, grid: tuple[int, ...] = KEEP_GRID, k: int = 10, sample: int = 5_000, seed: int = 42
+    df: DataFrame, grid: tuple[int, ...] = KEEP_GRID, k: int = 10, sample: int | None = None, seed: int = 42
 ) -> tuple[DataFrame, Projection]:
     """``m, jaccard_mean, jaccard_median``: overlap with the full space when m components are kept."""
     df = durable(df)
     fit = fit_pca(df)
     d = fit.loadings.shape[0]
     sizes = sorted({min(m, d) for m in grid} | {d})
-    kept = durable(sample_rows(df, sample, seed))
+    kept = df if sample is None else durable(sample_rows(df, sample, seed))
     base = durable(nearest(kept, k))
     found = nearest(pc_scores(kept, fit), k, prefixes=sizes)
     return overlap_summary(neighbor_overlap(base, found, ["m"]), ["m"]), fit

@@ -67,9 +67,9 @@ def presence_triplets(
 
 
 def coalesce_triplets(triplets: DataFrame) -> DataFrame:
-    """Duplicate cells summed after rounding, in row and column order."""
+    """Duplicate cells summed after rounding; whoever writes them sorts."""
     rounded = triplets.select("ii", "jj", F.round("vv").cast("long").alias("vv"))
-    return rounded.groupBy("ii", "jj").agg(F.sum("vv").alias("vv")).orderBy("ii", "jj")
+    return rounded.groupBy("ii", "jj").agg(F.sum("vv").alias("vv"))
 
 
 def triplet_summary(triplets: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
