@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasegraph.llm import decontaminate, minhash, mixing, sharding, toxicity
-from phrasegraph.llm.common import table
+from phrasegraph.llm.common import small_batches, table
 from phrasegraph.plans.durable import durable
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the given ids; rows with a null id stay."""
-    return docs.join(durable(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    with small_batches(docs.sparkSession):
+        gone = durable(ids.select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.3 or more go; the model learns from the labelled rows among ``docs``."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    with small_batches(spark):
+        model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return _without(docs, toxicity.score(docs, model).filter("score >= 0.3"))
 
 

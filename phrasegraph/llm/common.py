@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,23 @@ SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text whose words a task holds at a time.
 SLICE = 4 << 20
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = SLICE) -> Iterator[None]:
+    """Arrow batches of at most ``most`` bytes, or one row, for the jobs started inside.
+
+    Spark's own limits (10,000 rows, 64 MB) let a batch of long rows take several hundred MB in the executor
+    and its worker together. Batches cut rows otherwise and change no result.
+    """
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..plans.durable import durable
 from ..plans.skew import lookup
-from .common import fixed_words, lists, mix64, slices, text_of, utf8_bytes
+from .common import fixed_words, lists, mix64, slices, small_batches, text_of, utf8_bytes
 from .shingles import text_shingles
 
 #: Shingles hashed at a time.
@@ -184,7 +184,13 @@ def near_duplicates(
     texts are linked through that id; null ids form rows of their own with null component and
     are kept. An empty table gives no rows; other columns are ignored.
     """
-    tensor = Tensor.reaching(percent / 100, recall)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, size, Tensor.reaching(percent / 100, recall), percent, id_col, text_col)
+
+
+def _near_duplicates(
+    docs: DataFrame, size: int, tensor: Tensor, percent: int, id_col: str, text_col: str
+) -> DataFrame:
     known = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")
     )
