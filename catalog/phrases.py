@@ -28,7 +28,7 @@ flag as (select *, case when t in {STOP_SQL} or not regexp_matches(t, '^[\p{{L}}
                         then 1 else 0 end as brk from raw),
 isl as (select *, sum(brk) over (partition by doc_id order by pos) as g from flag),
 spans as materialized (select doc_id, min(pos) as start, count(*) as length, string_agg(t, ' ' order by pos) as phrase
-          from isl where brk = 0 group by doc_id, g having count(*) between 2 and 5)
+          from isl where brk = 0 group by doc_id, g having count(*) >= 2)
 """
 
 SQL_NORMAL = rf"""
@@ -74,7 +74,7 @@ SQL_MATCH = r"""
 wd as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
 gram as (select doc_id, array_to_string(w[i:i + n - 1], ' ') as phrase
          from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i
-               from wd, (values (2), (3), (4)) t(n) where len(w) >= n)),
+               from wd, (select distinct len(string_split(phrase, ' ')) from tm) t(n) where len(w) >= n)),
 pm as (select phrase, doc_id, count(*) as n from gram where phrase in (select phrase from tm) group by 1, 2),
 colloc as materialized (select *, count(*) over (partition by phrase) as doc_count from pm
            qualify count(*) over (partition by phrase) >= 5)

@@ -213,5 +213,44 @@ def bundle(spark, sf):
     x = K.doc_features(doc_vectors(spark, sf), docs.select(F.col("doc_id").alias("id")))
     x = x.select("id", as_doubles(F.col("vec")).alias("vec"))
     return K.write_bundle(
-        scratch_path(spark, "bundle"), durable(K.coalesce_triplets(tr)), e, x, docs.count(), kids.count(), L=TOPICS, R=2
+        scratch_path(spark, "bundle"), durable(K.coalesce_triplets(tr)), e, x, docs, kids, L=TOPICS, R=2
+    )
+
+
+@query(
+    "k10_bundle_rows",
+    f"""with {SQL_TRIPLETS}
+        select tq.ii, tq.jj, tq.vv, doc_id, kid, round(embedding[1]::double, 6) as e1, round(o_totalprice / 100000.0::double, 6) as x1
+        from tq join di using (ii) join ki using (jj) join embeddings on vec_id = kid join orders on o_orderkey = doc_id""",
+)
+def bundle_rows(spark, sf):
+    """Every cell of the written bundle with its features, found by row number alone."""
+    raw, docs, kids = quantities(spark, sf)
+    path = scratch_path(spark, "bundle")
+    e = vectors(spark, sf).dropDuplicates(["id"])
+    K.write_bundle(path, K.coalesce_triplets(raw), e, doc_vectors(spark, sf), docs, kids, L=TOPICS, R=2)
+    cells, e, x, ids, keys = (spark.read.parquet(f"{path}/{t}") for t in ("triplets", "E", "X", "documents", "phrases"))
+    e = e.select("jj", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("e1"))
+    x = x.select("ii", F.round(F.get("vec", F.lit(0)), 6).alias("x1"))
+    return cells.join(e.join(keys, "jj"), "jj").join(x.join(ids, "ii"), "ii")
+
+
+@query("k04_phrase_lengths", "select distinct vec_id as id, 16 as dims, 1.0::double as length from embeddings")
+def phrase_lengths(spark, sf):
+    """Projected phrase features have unit length."""
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, v: acc + v * v))
+    return phrase_features(spark, sf).select("id", F.size("vec").alias("dims"), F.round(length, 6).alias("length"))
+
+
+@query(
+    "k04_doc_moments",
+    "select dim::bigint as dim, count(*) as n, 0.0::double as mean, 1.0::double as sd from orders, (values (0), (1)) t(dim) group by 1",
+)
+def doc_moments(spark, sf):
+    """Projected document features have mean 0 and deviation 1 in every column."""
+    cells = doc_features(spark, sf).select(F.posexplode(as_doubles(F.col("vec"))).alias("dim", "v"))
+    return cells.groupBy(F.col("dim").cast("long").alias("dim")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.abs(F.round(F.avg("v"), 6)).alias("mean"),
+        F.round(F.stddev_samp("v"), 6).alias("sd"),
     )

@@ -35,11 +35,11 @@ def candidate_phrases(
     text_col: str = "text",
     stopwords: Sequence[str] | None = None,
     min_len: int = 2,
-    max_len: int = 5,
+    max_len: int | None = None,
 ) -> DataFrame:
     """``id, start, length, phrase``: runs of words between stop words and punctuation.
 
-    The runs are found inside the row (Rose et al. 2010), so no shuffle is needed.
+    Every run of at least ``min_len`` words counts; ``max_len`` leaves out longer ones. The runs are found inside the row (Rose et al. 2010), so no shuffle is needed.
     """
     stop = list(stopwords if stopwords is not None else stopword_list())
     tokens = spread(docs.select(id_col, text_col), id_col).select(
@@ -60,9 +60,12 @@ def candidate_phrases(
         F.slice("_b", F.lit(2), F.size("_b") - 1),
         lambda s, e: F.struct((s + 2).alias("start"), (e - s - 1).alias("length")),
     )
-    sized = bounded.select(
-        id_col, "_t", F.filter(runs, lambda r: r["length"].between(min_len, max_len)).alias("_r")
-    )
+
+    def fits(run: Column) -> Column:
+        enough = run["length"] >= min_len
+        return enough if max_len is None else enough & (run["length"] <= max_len)
+
+    sized = bounded.select(id_col, "_t", F.filter(runs, fits).alias("_r"))
     spans = F.transform(
         "_r",
         lambda r: F.struct(
@@ -272,14 +275,18 @@ def phrase_matches(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_doc_count: int = MIN_DOC_COUNT,
-    lengths: Sequence[int] = (2, 3, 4),
+    lengths: Sequence[int] | None = None,
 ) -> DataFrame:
     """``phrase, id, n, doc_count``: occurrences per document, on word bounds.
 
     ``phrases`` is ``phrase, n`` with ``n`` the phrase's rough frequency, used only to keep
-    the join balanced.
+    the join balanced. Phrases of all lengths are matched unless ``lengths`` names some.
     """
     found = durable(phrases.groupBy("phrase").agg(F.max("n").alias("_n")))
+    if lengths is None:
+        # One number per phrase length that occurs.
+        sizes = found.select(F.size(F.split("phrase", " ")).alias("n")).distinct()
+        lengths = sorted(r["n"] for r in sizes.collect()) or [1]
     hits = lookup(ngrams(docs, lengths, id_col, text_col), found, ["phrase"], "_n", found.count())
     per_doc = durable(hits.groupBy("phrase", id_col).agg(F.count(F.lit(1)).alias("n")))
     return frequent_postings(per_doc, min_doc_count)

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import highlight, norm_rater, spaces_for_hyphens
+from ..plans.durable import durable
 from ..plans.ordering import dense_index
-from ..plans.skew import lookup
+from ..plans.skew import SMALL_ROWS, lookup
 from .graph import shared_documents
 from .similarity import pair_cosine, similar_pairs
 
@@ -72,29 +73,44 @@ def _draw(col: Column, side: str, seed: int, n_ids: int) -> Column:
     return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(n_ids)) + 1
 
 
-def sample_random(
-    ids: DataFrame, n: int = 10, seed: int = 42, used: DataFrame | None = None, id_col: str = "id"
-) -> DataFrame:
-    """At most ``n`` distinct unused pairs from 50 n random draws; pairs are never listed."""
-    numbered = dense_index(ids.select(F.col(id_col).alias("id")).distinct(), ["id"], "_k")
-    n_ids = numbered.count()
-    if n_ids < 2 or n < 1:
-        return numbered.select(F.col("id").alias("id1"), F.col("id").alias("id2")).limit(0)
-    draws = ids.sparkSession.range(1, DRAWS_PER_PAIR * n + 1).select(
+def _drawn_pairs(numbered: DataFrame, n_ids: int, n_draws: int, seed: int) -> DataFrame:
+    """``id1, id2, draw``: the distinct pairs of the first ``n_draws`` draws and when each came first."""
+    draws = numbered.sparkSession.range(1, n_draws + 1).select(
         F.col("id").alias("draw"),
         _draw(F.col("id"), "a", seed, n_ids).alias("_a"),
         _draw(F.col("id"), "b", seed, n_ids).alias("_b"),
     )
-    # The draws are 50 n rows, whatever the number of ids.
     ends1 = numbered.select(F.col("_k").alias("_a"), F.col("id").alias("_x"))
     ends2 = numbered.select(F.col("_k").alias("_b"), F.col("id").alias("_y"))
-    drawn = ends2.join(F.broadcast(ends1.join(F.broadcast(draws), "_a")), "_b")
-    pairs = (
+    # Each side has one row per draw, whatever the number of ids.
+    small = F.broadcast if n_draws <= SMALL_ROWS else lambda rows: rows
+    drawn = ends2.join(small(ends1.join(small(draws), "_a")), "_b")
+    return (
         drawn.filter(F.col("_x") != F.col("_y"))
         .groupBy(F.least("_x", "_y").alias("id1"), F.greatest("_x", "_y").alias("id2"))
         .agg(F.min("draw").alias("draw"))
     )
-    return exclude_used(pairs, used).orderBy("draw").limit(n).select("id1", "id2")
+
+
+def sample_random(
+    ids: DataFrame, n: int = 10, seed: int = 42, used: DataFrame | None = None, id_col: str = "id"
+) -> DataFrame:
+    """The first ``n`` distinct unused pairs of a random sequence; fewer only if there are fewer.
+
+    50 n draws come first and are doubled while pairs are missing and not every pair was drawn.
+    """
+    numbered = dense_index(ids.select(F.col(id_col).alias("id")).distinct(), ["id"], "_k")
+    n_ids = numbered.count()
+    if n_ids < 2 or n < 1:
+        return numbered.select(F.col("id").alias("id1"), F.col("id").alias("id2")).limit(0)
+    numbered = durable(numbered)
+    n_draws = DRAWS_PER_PAIR * n
+    while True:
+        pairs = durable(_drawn_pairs(numbered, n_ids, n_draws, seed))
+        unused = exclude_used(pairs, used)
+        if unused.count() >= n or pairs.count() == n_ids * (n_ids - 1) // 2:
+            return unused.orderBy("draw").limit(n).select("id1", "id2")
+        n_draws *= 2
 
 
 def _one_per_anchor(pairs: DataFrame, n: int, seed: int) -> DataFrame:

@@ -209,15 +209,36 @@ def doc_log_likelihood(triplets: DataFrame, phi: DataFrame, theta: DataFrame) ->
 
 
 def write_bundle(
-    path: str, triplets: DataFrame, e: DataFrame, x: DataFrame, n_docs: int, n_terms: int, **sizes: float
+    path: str, triplets: DataFrame, e: DataFrame, x: DataFrame, doc_ids: DataFrame, kids: DataFrame, **sizes: float
 ) -> DataFrame:
-    """Write triplets, features and a one-row manifest below ``path``; returns the manifest."""
+    """Write triplets, features, numberings and a one-row manifest below ``path``; returns the manifest.
+
+    ``e`` and ``x`` are ``id, vec``; they are written as ``jj, vec`` and ``ii, vec`` by the numberings
+    ``doc_id, ii`` and ``kid, jj``, so their rows match the triplets. An error if a number lacks its features.
+    """
     settings = {**{k: v for k, v in DEFAULTS.items() if not k.startswith("prefer")}, **sizes}
+    spark = triplets.sparkSession
     triplets.write.parquet(f"{path}/triplets")
-    e.write.parquet(f"{path}/E")
-    x.write.parquet(f"{path}/X")
-    manifest = triplets.sparkSession.read.parquet(f"{path}/triplets").agg(F.count(F.lit(1)).alias("NNZ"))
-    dims = {"D": n_docs, "K": n_terms, "M": e.select(F.size("vec")).first()[0], "P": x.select(F.size("vec")).first()[0]}
-    manifest = manifest.select("NNZ", *[F.lit(v).alias(k) for k, v in {**dims, **settings}.items()])
+    doc_ids.select("ii", "doc_id").write.parquet(f"{path}/documents")
+    kids.select("jj", "kid").write.parquet(f"{path}/phrases")
+    dims = {}
+    for name, size, features, numbers, row, key in (
+        ("E", "M", e, "phrases", "jj", "kid"),
+        ("X", "P", x, "documents", "ii", "doc_id"),
+    ):
+        numbered = spark.read.parquet(f"{path}/{numbers}").withColumnRenamed(key, "id")
+        numbered.join(features.select("id", "vec"), "id", "left").select(row, "vec").write.parquet(f"{path}/{name}")
+        facts = spark.read.parquet(f"{path}/{name}").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count("vec").alias("filled"),
+            F.count_distinct(row).alias("numbers"),
+            F.max(F.size("vec")).alias("width"),
+        ).first()
+        if not facts["rows"] == facts["filled"] == facts["numbers"]:
+            raise ValueError(f"{name} needs exactly one vector per number: {facts.asDict()}")
+        dims |= {("K" if name == "E" else "D"): facts["rows"], size: facts["width"]}
+    manifest = spark.read.parquet(f"{path}/triplets").agg(F.count(F.lit(1)).alias("NNZ"))
+    values = {k: dims[k] for k in ("D", "K", "M", "P")} | settings
+    manifest = manifest.select("NNZ", *[F.lit(v).alias(k) for k, v in values.items()])
     manifest.write.json(f"{path}/manifest")
     return manifest

@@ -136,6 +136,49 @@ def test_phrase_lists_are_cut_into_parts(spark, monkeypatch, tmp_path):
     assert {(r["kid"], int(r["doc_id"]), r["n"]) for r in back.collect()} == {(r["kid"], r["doc_id"], r["n"]) for r in postings.collect()}
 
 
+def test_phrases_without_postings_survive(spark, tmp_path):
+    phrases = spark.createDataFrame(
+        [("1", "big thing", 1, False, False, False), ("2", "lone thing", 0, True, False, False), ("3", "new thing", None, False, True, False)],
+        "kid string, phrase string, doc_count long, omit boolean, method boolean, thematic boolean",
+    )
+    postings = spark.createDataFrame([("1", 7, 2)], "kid string, doc_id long, n long")
+    path = str(tmp_path / "phrases")
+    IO.write_phrases(phrases, postings, path)
+    table, back = IO.read_phrases(spark, path)
+    assert {(r["phrase"], r["omit"], r["method"]) for r in table.collect()} == {
+        ("big thing", False, False), ("lone thing", True, False), ("new thing", False, True)
+    }
+    assert [(r["kid"], r["doc_id"], r["n"]) for r in back.collect()] == [("1", "7", 2)]
+
+
+def test_runs_and_matches_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "doc_id long, text string")
+    assert [r["length"] for r in P.candidate_phrases(docs).collect()] == [6]
+    assert P.candidate_phrases(docs, max_len=5).count() == 0
+    wanted = spark.createDataFrame([("beta gamma delta epsilon zeta", 1), ("alpha beta", 1)], "phrase string, n long")
+    got = {r["phrase"] for r in P.phrase_matches(wanted, docs, min_doc_count=1).collect()}
+    assert got == {"beta gamma delta epsilon zeta", "alpha beta"}
+    assert P.phrase_matches(wanted.limit(0), docs, min_doc_count=1).count() == 0
+
+
+def test_random_sample_returns_every_unused_pair(spark):
+    ids = spark.createDataFrame([(f"k{i:02d}",) for i in range(30)], "id string")
+    rows = [(f"k{a:02d}||k{b:02d}",) for a in range(30) for b in range(a + 1, 30)]
+    left = {rows[3][0], rows[200][0], rows[400][0]}
+    used = spark.createDataFrame([r for r in rows if r[0] not in left], "pair string")
+    for n in (1, 3, 5):
+        got = {f"{r['id1']}||{r['id2']}" for r in H.sample_random(ids, n, 1, used).collect()}
+        assert got <= left and len(got) == min(n, 3)
+
+
+def test_bundle_refuses_missing_features(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 1, 2)], "ii long, jj long, vv long")
+    docs, kids = spark.createDataFrame([("d", 1)], "doc_id string, ii long"), spark.createDataFrame([("k", 1)], "kid string, jj long")
+    e = spark.createDataFrame([("k", [1.0, 2.0])], "id string, vec array<double>")
+    with pytest.raises(ValueError):
+        K.write_bundle(str(tmp_path / "bundle"), cells, e, e, docs, kids)
+
+
 def test_labels_file_may_be_missing_or_unnamed(spark, tmp_path):
     assert IO.read_labels(spark, str(tmp_path / "none")).count() == 0
     path = str(tmp_path / "labels")
