@@ -220,7 +220,7 @@ def bundle(spark, sf):
 @query(
     "k10_bundle_rows",
     f"""with {SQL_TRIPLETS}
-        select tq.ii, tq.jj, tq.vv, doc_id, kid, round(embedding[1]::double, 6) as e1, round(o_totalprice / 100000.0::double, 6) as x1
+        select tq.ii, tq.jj, tq.vv, doc_id, kid, round(embedding[1]::double, 6) as e1, round(o_totalprice / 100000.0::double, 7) as x1
         from tq join di using (ii) join ki using (jj) join embeddings on vec_id = kid join orders on o_orderkey = doc_id""",
 )
 def bundle_rows(spark, sf):
@@ -231,7 +231,7 @@ def bundle_rows(spark, sf):
     K.write_bundle(path, K.coalesce_triplets(raw), e, doc_vectors(spark, sf), docs, kids, L=TOPICS, R=2)
     cells, e, x, ids, keys = (spark.read.parquet(f"{path}/{t}") for t in ("triplets", "E", "X", "documents", "phrases"))
     e = e.select("jj", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("e1"))
-    x = x.select("ii", F.round(F.get("vec", F.lit(0)), 6).alias("x1"))
+    x = x.select("ii", F.round(F.get("vec", F.lit(0)), 7).alias("x1"))
     return cells.join(e.join(keys, "jj"), "jj").join(x.join(ids, "ii"), "ii")
 
 
