@@ -214,6 +214,50 @@ def pca_scores(spark, sf):
     return PR.reduce_dims(vectors(spark, sf), 16)
 
 
+@query(
+    "d12_pca_score_lengths",
+    """with lv as (select vec_id as id, generate_subscripts(embedding, 1) as j, unnest(embedding)::double as x from embeddings),
+            mn as (select j, avg(x) as m from lv group by 1)
+       select id, round(sum((x - m) * (x - m)), 6) as length_sq from lv join mn using (j) group by 1""",
+)
+def pca_score_lengths(spark, sf):
+    """All components together keep each row's distance to the mean."""
+    v = vectors(spark, sf)
+    scores = PR.pc_scores(v, PR.fit_pca(v))
+    length = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    return scores.select("id", F.round(length, 6).alias("length_sq"))
+
+
+@query(
+    "d12_pca_orthonormal",
+    """select a::int as a, b::int as b, case when a = b then 1.0 else 0.0 end::double as product
+       from generate_series(1, 10) x(a), generate_series(1, 10) y(b) where a <= b""",
+)
+def pca_orthonormal(spark, sf):
+    """Products of the loadings of any two components: 1 with itself, else 0."""
+    cells = pca_components(spark, sf)
+    left = cells.select(F.col("component").alias("a"), "dim", F.col("loading").alias("_x"))
+    right = cells.select(F.col("component").alias("b"), "dim", F.col("loading").alias("_y"))
+    product = F.round(F.sum(F.col("_x") * F.col("_y")), 6) + F.lit(0.0)
+    return left.join(right, "dim").filter("a <= b").groupBy("a", "b").agg(product.alias("product"))
+
+
+@query(
+    "d12_pca_variance",
+    "select max(len(embedding))::bigint as components, 1.0::double as total, 0::bigint as rising from embeddings",
+)
+def pca_variance(spark, sf):
+    """Shares of variance add up to 1 and never rise."""
+    v = vectors(spark, sf)
+    shares = PR.fit_pca(v).spectrum(v)
+    after = shares.select((F.col("m") - 1).alias("m"), F.col("evr").alias("_next"))
+    return shares.join(after, "m", "left").agg(
+        F.count(F.lit(1)).alias("components"),
+        F.round(F.sum("evr"), 9).alias("total"),
+        F.count_if(F.col("_next") > F.col("evr") + 1e-12).alias("rising"),
+    )
+
+
 @query(
     "d13_evr_targets",
     f"""with {SQL_SPECTRUM} select t as target, min(case when cum_evr >= t - 1e-12 then m end) as m
