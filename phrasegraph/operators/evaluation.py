@@ -15,6 +15,7 @@ from .checks import require_columns, require_rows
 from .sampling import pair_key
 from .similarity import pair_cosine
 
+#: Folds of the cross-validation and held out, words of a long pair, bins of the labels.
 CV_FOLDS = (1, 2, 3, 4)
 HOLDOUT_FOLD = 5
 LONG_PAIR_TOKENS = 12

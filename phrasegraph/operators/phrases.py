@@ -19,6 +19,7 @@ from ..plans.ordering import dense_index
 from ..plans.skew import lookup
 from ..plans.spread import spread
 
+#: Documents a phrase needs, counts and pointwise mutual information of a collocation.
 MIN_DOC_COUNT = 5
 COLLOCATION_COUNT_MIN = 5
 COLLOCATION_PMI_MIN = 2.0

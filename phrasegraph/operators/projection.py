@@ -24,6 +24,7 @@ from ..plans.ordering import with_average_rank
 from .similarity import hub_counts, hub_summary, nearest, neighbor_overlap, overlap_summary, sample_rows
 
 MAX_DIMS = 4096
+#: Numbers of components that are tried.
 KEEP_GRID = (8, 12, 16, 20, 24, 32, 40, 50, 64, 80, 96, 128, 160, 200, 256, 320, 384, 512)
 
 
