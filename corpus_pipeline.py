@@ -35,7 +35,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their calibrated probability stay."""
+    """Documents drawn by their calibrated probability stay: half of the tokens are expected to."""
     return mixing.mix(docs).filter("mix_sampled").select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
+from ..plans.ordering import running_total
 from ..plans.skew import lookup
 from .common import text_of
 
@@ -18,6 +19,9 @@ SWEEPS = 20
 #: Sweeps planned together before the cells are written.
 PER_STEP = 5
 
+#: Share of all tokens that a sample is expected to keep.
+RETENTION = 0.5
+
 SEED = "mix"
 
 NAME = "unknown"
@@ -72,6 +76,41 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
     return raised.join(F.broadcast(total)).select("value", (F.col("_p") / F.col("_all")).alias("target"))
 
 
+def scaled(cells: DataFrame, retention: float | None) -> DataFrame:
+    """``cells`` (``mass``, ``factor``) with ``probability`` and ``missed``.
+
+    ``probability`` is min(1, c * factor), with c solved so that the expected tokens are ``retention`` of all mass.
+    A cell at 1 is saturated: it gives all it has, and the others share the rest by weight. ``missed`` is the part
+    of the cell's share of the budget that it does not give; it is below zero where a cell stands in for saturated ones.
+    If even all tokens of positive factor are short of the budget, all are kept. None: factor / largest factor.
+    """
+    if retention is None:
+        top = cells.agg(F.max("factor").alias("_top"))
+        share = F.when(F.col("_top") > 0, F.col("factor") / F.col("_top")).otherwise(0.0)
+        return cells.join(F.broadcast(top)).withColumns({"probability": share, "missed": F.lit(0.0)}).drop("_top")
+    if not 0 < retention <= 1:
+        raise ValueError("retention must be above 0 and at most 1")
+    level = F.sum(F.col("mass").cast("double"))
+    levels = cells.filter("factor > 0").groupBy("factor").agg(level.alias("_mass")).withColumn("_want", F.expr("_mass * factor"))
+    totals = durable(
+        cells.agg(
+            (level * F.lit(float(retention))).alias("_budget"),
+            F.sum(F.when(F.col("factor") > 0, F.col("mass").cast("double"))).alias("_all"),
+            F.sum(F.col("mass") * F.col("factor")).alias("_wanted"),
+        )
+    )
+    levels = running_total(running_total(levels, ["factor"], "_mass", "_upto"), ["factor"], "_want", "_tail")
+    # At c = 1 / factor all levels above this one are saturated.
+    above = F.col("_all") - F.col("_upto")
+    fits = levels.join(F.broadcast(totals)).filter(above + F.col("_tail") / F.col("factor") >= F.col("_budget"))
+    scale = fits.agg(F.max_by((F.col("_budget") - above) / F.col("_tail"), "factor").alias("_c"))
+    some = F.col("factor") > 0
+    share = F.when(some, F.coalesce(F.least(F.lit(1.0), F.col("_c") * F.col("factor")), F.lit(1.0))).otherwise(0.0)
+    missed = F.when(some, 1 - F.col("probability") * F.col("_wanted") / (F.col("_budget") * F.col("factor"))).otherwise(0.0)
+    joined = cells.join(F.broadcast(totals)).join(F.broadcast(scale))
+    return joined.withColumn("probability", share).withColumn("missed", missed).drop("_budget", "_all", "_wanted", "_c")
+
+
 def mix(
     docs: DataFrame,
     temperatures: dict[str, float] | None = None,
@@ -80,15 +119,19 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     targets: dict[str, DataFrame] | None = None,
+    retention: float | None = RETENTION,
 ) -> DataFrame:
-    """Every row of ``docs`` with ``mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_sampled``.
+    """Every row of ``docs`` with ``mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_missed,
+    mix_sampled``.
 
     Tokens are counted per cell of source, language and topic; the cells are raked until tokens times weight meet
     the target share of every source, language and topic. ``targets`` gives these shares; by default they
     are the present ones to the power ``temperatures``, which lifts small sources. A document is
-    drawn with probability weight / largest weight, so the sample's expected token
-    mix equals the raked one and no document is needed twice. The draw depends on seed and id
-    alone.
+    drawn with probability min(1, c * weight), where c makes the expected tokens ``retention`` of all, so a rare
+    cell cannot thin the others and no document is needed twice. Cells that reach 1 cannot meet their
+    target; ``mix_missed`` says by how much (see ``scaled``). With ``retention`` None the probability is
+    weight / largest weight: the exact raked mix, of a size that the rarest cell sets. The draw depends on seed
+    and id alone.
 
     Documents are counted with map-side combining; the cells are few, are written and join back with hot cells
     spread. Null source or language counts as ``unknown``; null or empty text has no tokens and
@@ -96,7 +139,7 @@ def mix(
     ones are replaced.
     """
     names = ["mix_source", "mix_lang", "mix_topic"]
-    new = [*names, "mix_tokens", "mix_weight", "mix_probability", "mix_sampled"]
+    new = [*names, "mix_tokens", "mix_weight", "mix_probability", "mix_missed", "mix_sampled"]
     plain = docs.drop(*new)
     keyed = plain.withColumns(
         {
@@ -114,13 +157,12 @@ def mix(
         f"mix_{m}": (targets or {}).get(m) if targets and m in targets else durable(tempered(cells, f"mix_{m}", powers[m]))
         for m in ("source", "lang", "topic")
     }
-    weighted = raked(cells, margins, sweeps)
-    top = weighted.agg(F.max("factor").alias("_top"))
-    weighted = weighted.join(F.broadcast(top)).select(
+    weighted = scaled(raked(cells, margins, sweeps), retention).select(
         *names,
         "_n",
         F.col("factor").alias("mix_weight"),
-        F.when(F.col("_top") > 0, F.col("factor") / F.col("_top")).otherwise(0.0).alias("mix_probability"),
+        F.col("probability").alias("mix_probability"),
+        F.col("missed").alias("mix_missed"),
     )
     joined = lookup(keyed, weighted, names, "_n")
     return joined.withColumn("mix_sampled", draw(id_col, seed) < F.col("mix_probability")).select(*plain.columns, *new)

@@ -36,7 +36,8 @@ def query(name: str, statement: str | None = None) -> Callable[[Query], Query]:
 
 @query("op1_mixing", sql.MIXING)
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    # The agreed SQL draws by weight / largest weight.
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), retention=None)
     return mixed.select(
         "doc_id",
         F.col("mix_source").alias("source"),

@@ -287,6 +287,26 @@ def test_raking_meets_margins(spark):
     assert mixed.mix_probability.max() <= 1 and 0 < mixed.mix_sampled.sum() <= len(mixed)
 
 
+def test_rare_source_does_not_thin_the_rest(spark):
+    rows = [(i, "w " * (i % 9 + 1), "en", ["hot", "b", "c"][min(i % 7, 2) if i % 3 else 0]) for i in range(3000)]
+    rows.append((9999, "w " * 30, "en", "tiny"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(docs).toPandas()
+    tokens = mixed.mix_tokens.sum()
+    assert np.isclose((mixed.mix_tokens * mixed.mix_probability).sum(), 0.5 * tokens)
+    assert 0.4 * tokens < mixed.mix_tokens[mixed.mix_sampled].sum() < 0.6 * tokens
+    # Plain Python: halve the interval that holds c.
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if (mixed.mix_tokens * np.minimum(1, c * mixed.mix_weight)).sum() < 0.5 * tokens else (lo, c)
+    assert np.allclose(mixed.mix_probability, np.minimum(1, lo * mixed.mix_weight))
+    tiny = mixed[mixed.mix_source == "tiny"].iloc[0]
+    want = 0.5 * tokens * tiny.mix_weight / (mixed.mix_tokens * mixed.mix_weight).sum()
+    assert tiny.mix_probability == 1 and np.isclose(tiny.mix_missed, 1 - 1 / want) and tiny.mix_missed > 0.5
+    assert mixing.mix(docs, retention=1.0).filter("mix_sampled").count() == len(rows)
+
+
 @needs_data
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
