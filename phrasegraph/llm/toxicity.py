@@ -40,8 +40,11 @@ REPORTS = (
 #: Input symbols of the transducers.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 
-#: Words after a negation, and after a target, that they still reach.
-NEGATION_REACH, TARGET_REACH = 3, 4
+#: Words after a negation, and after a target, that they still reach; words before a target that it reaches.
+NEGATION_REACH, TARGET_REACH, AHEAD_REACH = 3, 4, 3
+
+#: Documents with this score or more count as toxic.
+THRESHOLD = 0.3
 
 #: What a clause can match; the weight is the prior for one such match (fixed values).
 FEATURES = {
@@ -50,12 +53,22 @@ FEATURES = {
     ("insult", False, True): 1.0,
     ("insult", True, True): 1.5,
     ("threat", False, False): 0.5,
-    ("threat", True, False): 2.5,
+    ("threat", True, False): 4.0,
     ("threat", False, True): 0.0,
     ("threat", True, True): 0.5,
 }
 NAMES = list(FEATURES)
 
+#: Added for a match without a target before it that has one after it: kind, whether reported (fixed values).
+AHEAD = {("insult", False): 0.5, ("insult", True): 0.5, ("threat", False): 3.5, ("threat", True): 0.5}
+AHEAD_NAMES = list(AHEAD)
+
+#: Sums of weights that one directed threat, unreported and unnegated, is scored by.
+DIRECTED_THREATS = (
+    [NAMES.index(("threat", True, False))],
+    [NAMES.index(("threat", False, False)), len(NAMES) + AHEAD_NAMES.index(("threat", False))],
+)
+
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 
@@ -138,7 +151,7 @@ class Model:
     """Word weights per class and feature weights; ``bias`` is the log-odds of a text with no match."""
 
     insults: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 1.0))
-    weights: list[float] = field(default_factory=lambda: list(FEATURES.values()))
+    weights: list[float] = field(default_factory=lambda: [*FEATURES.values(), *AHEAD.values()])
     bias: float = -3.0
 
     @cached_property
@@ -162,8 +175,12 @@ class Model:
         return found
 
     def features(self, text: str) -> np.ndarray:
-        """How much of each feature the clauses of a text match; only clauses with a trigger word are read."""
-        total = np.zeros(len(NAMES))
+        """How much of each of ``NAMES`` the clauses of a text match."""
+        return self.matches(text)[: len(NAMES)]
+
+    def matches(self, text: str) -> np.ndarray:
+        """``features``, then ``AHEAD_NAMES``; only clauses with a trigger word are read, once in each direction."""
+        total = np.zeros(len(NAMES) + len(AHEAD_NAMES))
         low = text.lower()
         hits = [end for end, _ in self.finder.iter(low)]
         if not hits:
@@ -173,13 +190,22 @@ class Model:
         ends = [s for s, _ in cuts] + [len(low)]
         following, written = self.tables
         for i in sorted({bisect.bisect_right(starts, h) - 1 for h in hits}):
-            state = 0
+            state, read = 0, []
             for word in TOKEN.findall(low, starts[i], ends[i]):
                 symbol = self.classes.get(word, OTHER)
                 out = written[state][symbol]
+                amount = self.insults.get(word, 1.0) if out >= 0 else 0.0
                 if out >= 0:
-                    total[out] += self.insults.get(word, 1.0)
+                    total[out] += amount
+                read.append((symbol, out, amount))
                 state = following[state][symbol]
+            left = 0
+            for symbol, out, amount in reversed(read):
+                if out >= 0 and left > 0:
+                    kind, directed, reported = NAMES[out]
+                    if not directed:
+                        total[len(NAMES) + AHEAD_NAMES.index((kind, reported))] += amount
+                left = AHEAD_REACH if symbol == TARGET else max(0, left - 1)
         return total
 
     def probability(self, found: np.ndarray) -> np.ndarray:
@@ -192,7 +218,7 @@ def _apply(model: Model, rows: DataFrame, carried: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.features(t.as_py() or "") for t in batch.column(2)]
+            found = [model.matches(t.as_py() or "") for t in batch.column(2)]
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array([f.tolist() for f in found], pa.list_(pa.float64()))],
                 ["_id", "_y", "_f"],
@@ -215,7 +241,8 @@ def fit(
 
     Words found in at least ``min_share`` of the toxic rows (5 at least) and ``min_odds`` times as often as in
     the others join the insults, at most ``lexicon_size``, most frequent first. Then a
-    logistic fit moves the feature weights away from the grammar's priors as far as the rows support.
+    logistic fit moves the feature weights away from the grammar's priors as far as the rows support. The priors
+    of threats are raised first so that one directed threat is over ``THRESHOLD`` at the bias of the labels.
     Without both labels among the rows the priors stay.
     """
     truth = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
@@ -258,7 +285,13 @@ def fit(
     x = np.log1p(np.array([r["_f"] for r in seen]))
     y = np.array([r["_y"] for r in seen], float)
     w = np.array([r["count"] for r in seen], float)
-    model.weights, model.bias = _logistic(x, y, w, np.array(model.weights))
+    prior = np.array(model.weights)
+    model.weights, model.bias = _logistic(x, y, w, prior)
+    # A margin of 0.5 leaves room for what the second fit changes in the bias.
+    needed = (math.log(THRESHOLD / (1 - THRESHOLD)) + 0.5 - model.bias) / math.log(2)
+    for parts in DIRECTED_THREATS:
+        prior[parts[-1]] += max(0.0, needed - prior[parts].sum())
+    model.weights, model.bias = _logistic(x, y, w, prior)
     return model
 
 
@@ -290,7 +323,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Clauses end at ``. ! ? ; :`` and line ends. The composed transducer reads the words of each clause that
     holds a trigger: a negation cancels insults and threats within its reach, a report verb or
-    quotes mark what follows as reported, a target nearby marks it as directed. Null and
+    quotes mark what follows as reported, a target before or after it marks it as directed. Null and
     empty texts match nothing and get the base probability. Rows may repeat, ids may be null, an
     empty table gives no rows, other columns are ignored.
     """
@@ -312,5 +345,5 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         id_col,
         held_out(id_col).alias("held_out"),
         "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

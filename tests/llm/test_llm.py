@@ -225,6 +225,22 @@ def test_grammar():
     assert kinds("idiots and scummy things") == set()
 
 
+THREATENING = ["I will kill you. Fine", "we are going to hurt all of you", "ich werde dich töten", "they want to shoot him today"]
+HARMLESS = ["I will not kill you", "the frost can kill tomatoes", 'Anna wrote "I will kill you"', "the report is long"]
+
+
+def test_directed_threats_are_found(spark):
+    rows = [(i, "you are an idiot" if i % 9 == 0 else f"plain text {i}") for i in range(900)]
+    extra = list(enumerate(THREATENING + HARMLESS, 10_000))
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert [scores[i] >= 0.3 for i, _ in extra] == [True] * len(THREATENING) + [False] * len(HARMLESS)
+    bare = toxicity.Model()
+    assert [bare.probability(bare.matches(t)) >= 0.3 for t in THREATENING + HARMLESS] == [True] * 4 + [False] * 4
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
