@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -63,12 +63,30 @@ NAMES = list(FEATURES)
 AHEAD = {("insult", False): 0.5, ("insult", True): 0.5, ("threat", False): 3.5, ("threat", True): 0.5}
 AHEAD_NAMES = list(AHEAD)
 
-#: Sums of weights that one directed threat, unreported and unnegated, is scored by.
-DIRECTED_THREATS = (
+#: Sums of weights that one insult or one directed threat, unreported and unnegated, is scored by.
+DECISIVE = (
+    [NAMES.index(("insult", False, False))],
+    [NAMES.index(("insult", True, False))],
     [NAMES.index(("threat", True, False))],
     [NAMES.index(("threat", False, False)), len(NAMES) + AHEAD_NAMES.index(("threat", False))],
 )
 
+def inflected(words: Iterable[str]) -> set[str]:
+    """The words with regular plural, case, gender and comparative endings; words under four letters as they are."""
+    out = set(words)
+    for word in [w for w in out if len(w) >= 4]:
+        out |= {word + end for end in ("s", "es", "e", "en", "n", "em")}
+        if word.endswith("lich"):
+            out.add(word + "er")
+        if word.endswith("y"):
+            out |= {word[:-1] + end for end in ("ies", "ier", "iest")}
+        if word.endswith("o"):
+            out |= {word[:-1] + end for end in ("a", "as")}
+        if word.endswith("in"):
+            out.add(word + "nen")
+    return out
+
+
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 
@@ -231,18 +249,19 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 20_000,
-    lexicon_size: int = 200,
-    min_share: float = 0.08,
+    min_rows: int = 5,
     min_odds: float = 20.0,
+    chance: float = 0.01,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
     """Learns from about ``max_rows`` labelled rows, drawn by a hash of the id (all if there are fewer).
 
-    Words found in at least ``min_share`` of the toxic rows (5 at least) and ``min_odds`` times as often as in
-    the others join the insults, at most ``lexicon_size``, most frequent first. Then a
-    logistic fit moves the feature weights away from the grammar's priors as far as the rows support. The priors
-    of threats are raised first so that one directed threat is over ``THRESHOLD`` at the bias of the labels.
+    Words found in at least ``min_rows`` toxic rows and ``min_odds`` times as often as in the others join the
+    insults if a likelihood-ratio test of independence refuses chance, at ``chance`` over all words tested;
+    no share of all toxic rows is asked for, so rare words and small languages count. Seeds
+    and learned words match in their regular inflected forms too. Then a logistic fit moves the feature weights away from the grammar's priors as far as the rows support. The priors
+    are raised first so that one insult or directed threat is over ``THRESHOLD`` at the bias of the labels.
     Without both labels among the rows the priors stay.
     """
     truth = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
@@ -256,8 +275,9 @@ def fit(
     counts = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     model = Model()
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    known = {*TARGETS, *NEGATIONS, *REPORTS, *THREATS, *"\"“”„«»"}
     if not toxic or not clean:
-        return model
+        return Model(insults=dict.fromkeys(inflected(model.insults) - known, 1.0))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,40 +293,64 @@ def fit(
         .agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c"))
     )
     ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
-    known = {*TARGETS, *NEGATIONS, *REPORTS, *THREATS, *"\"“”„«»"}
-    learned = (
-        per_word.filter((F.col("t") >= max(5, min_share * toxic)) & (ratio >= min_odds))
-        .orderBy(F.desc("t"), "word")
-        .limit(lexicon_size)
-        .collect()
-    )
-    model = Model(insults=model.insults | {r["word"]: 1.0 for r in learned if r["word"] not in known})
+    # Twice the log-likelihood ratio of the counts against independence; exp(-half of it) bounds its chance.
+    both = F.col("t") + F.col("c")
+    share = F.lit(toxic / (toxic + clean))
+
+    def part(n: Column, expected: Column) -> Column:
+        return F.when(n > 0, 2 * n * F.log(n / expected)).otherwise(0.0)
+
+    fits = part(F.col("t"), both * share) + part(F.col("c"), both * (1 - share))
+    per_word = durable(per_word)
+    words_tested = per_word.filter(F.col("t") >= min_rows).count()
+    learned = per_word.filter(
+        (F.col("t") >= min_rows) & (ratio >= min_odds) & (fits >= 2 * math.log(max(1, words_tested) / chance))
+    ).collect()
+    lexicon = {*model.insults, *(r["word"] for r in learned)} - known
+    model = Model(insults=dict.fromkeys(sorted(inflected(lexicon) - known), 1.0))
     seen = _apply(model, rows.withColumn("_y", F.col("_y").cast("int")), "int").groupBy("_f", "_y").count().collect()
     x = np.log1p(np.array([r["_f"] for r in seen]))
     y = np.array([r["_y"] for r in seen], float)
     w = np.array([r["count"] for r in seen], float)
     prior = np.array(model.weights)
     model.weights, model.bias = _logistic(x, y, w, prior)
-    # A margin of 0.5 leaves room for what the second fit changes in the bias.
-    needed = (math.log(THRESHOLD / (1 - THRESHOLD)) + 0.5 - model.bias) / math.log(2)
-    for parts in DIRECTED_THREATS:
-        prior[parts[-1]] += max(0.0, needed - prior[parts].sum())
+    for parts in DECISIVE:
+        prior[parts[-1]] += max(0.0, _needed(model.bias) - prior[parts].sum())
     model.weights, model.bias = _logistic(x, y, w, prior)
+    # The second fit moves the bias; a weight that no row bears on follows it.
+    weights = np.array(model.weights)
+    for parts in DECISIVE:
+        if not x[:, parts[-1]].any():
+            weights[parts[-1]] += max(0.0, _needed(model.bias) - weights[parts].sum())
+    model.weights = weights.tolist()
     return model
 
 
+def _needed(bias: float) -> float:
+    """The weight that puts one match over ``THRESHOLD``, with a margin of 0.5 in log-odds."""
+    return (math.log(THRESHOLD / (1 - THRESHOLD)) + 0.5 - bias) / math.log(2)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: np.ndarray) -> tuple[list[float], float]:
-    """Newton steps for weighted logistic regression with a unit normal prior around ``prior``."""
+    """Newton steps, halved until the loss falls, for weighted logistic regression with a unit normal prior around ``prior``."""
     full = np.column_stack([x, np.ones(len(x))])
     centre = np.append(prior, 0.0)
     ridge = np.append(np.ones(len(prior)), 1e-6)
     beta = np.append(prior, math.log((w @ y + 0.5) / (w @ (1 - y) + 0.5)))
-    for _ in range(30):
+
+    def loss(b: np.ndarray) -> float:
+        z = full @ b
+        return float(w @ (np.logaddexp(0, z) - y * z) + ridge @ (b - centre) ** 2 / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(full @ beta, -30, 30)))
         gradient = full.T @ (w * (y - p)) - ridge * (beta - centre)
         curvature = (full.T * (w * p * (1 - p) + 1e-9)) @ full + np.diag(ridge)
         move = np.linalg.solve(curvature, gradient)
-        beta += move
+        now = loss(beta)
+        while loss(beta + move) > now and np.abs(move).max() >= 1e-8:
+            move = move / 2
+        beta = beta + move
         if np.abs(move).max() < 1e-8:
             break
     return beta[:-1].tolist(), float(beta[-1])

@@ -241,6 +241,19 @@ def test_directed_threats_are_found(spark):
     assert [bare.probability(bare.matches(t)) >= 0.3 for t in THREATENING + HARMLESS] == [True] * 4 + [False] * 4
 
 
+def test_rare_insults_and_inflected_forms(spark):
+    words = [f"gr{a}m{b}p" for a in "aeiou" for b in "aeiou"]
+    rows = [(i, f"du bist ein {words[i % 25]} {i}" if i % 8 == 0 else f"du bist ein gast {i}") for i in range(2000)]
+    extra = [(5000, "the gramups left"), (5001, "those two idiots"), (5002, "estúpidas"), (5003, "two tables")]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    # Every word is in 4 % of the toxic rows.
+    assert set(words) <= set(model.insults) and not {"du", "bist", "ein", "gast"} & set(model.insults)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert [scores[i] >= 0.3 for i in range(5000, 5004)] == [True, True, True, False]
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
