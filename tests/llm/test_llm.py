@@ -266,6 +266,15 @@ def test_held_out_accuracy(spark):
     assert hits.count() and hits.filter("toxic = 1").count() >= 0.8 * hits.count()
 
 
+def test_no_gram_is_dropped(spark):
+    draw = random.Random(4)
+    rows = [(i, "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(2300)), "zh") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = np.unique(np.concatenate([language.grams(language.symbols(t)) for _, t, _ in rows]))
+    model = language.fit(docs)
+    assert len(want) > 200_000 and np.array_equal(model.codes[0], want)
+
+
 def test_kneser_ney_sums_to_one():
     codes, n = np.unique(np.concatenate([language.grams(language.symbols(t)) for t in ("abab abc", "cab cab")]), return_counts=True)
     model = language.build({"xx": (codes, n)})
