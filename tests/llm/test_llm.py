@@ -266,6 +266,15 @@ def test_held_out_accuracy(spark):
     assert hits.count() and hits.filter("toxic = 1").count() >= 0.8 * hits.count()
 
 
+@needs_data
+def test_held_out_toxic_rows_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = entry.queries()["op6_toxicity"](spark, sf).filter("held_out").join(labels, "doc_id")
+    toxic = judged.filter("toxic = 1")
+    assert toxic.filter("predicted = 1").count() >= 0.8 * toxic.count()
+
+
 def test_no_gram_is_dropped(spark):
     draw = random.Random(4)
     rows = [(i, "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(2300)), "zh") for i in range(100)]
