@@ -3,15 +3,23 @@
 A written table survives the loss of any executor, carries its real size (so broadcast
 decisions rest on it) and gives the next step a plan with no history. The last point
 matters in loops: a plan that remembers its constraints grows with every round.
+
+An operator that writes many steps opens a scope, ``with steps(spark) as scope``, and returns
+``scope.keep(result)``: the result is written and all else that was written inside is deleted.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes = threading.local()
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; one of our own only for local runs."""
@@ -31,9 +39,60 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/phrasegraph-{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, write it, and continue from the written table."""
+class Steps:
+    """The tables that :func:`durable` wrote inside one scope of :func:`steps`."""
+
+    def __init__(self, spark: SparkSession, outer: Steps | None):
+        self.spark = spark
+        self.outer = outer
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written so that it outlives this scope; an enclosing scope still deletes it."""
+        return _written(df, self.outer)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a written step of this scope whose last reader has run."""
+        path = getattr(df, "_step_path", None)
+        if path in self.paths:
+            self.paths.remove(path)
+            _delete(self.spark, path)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Steps]:
+    """Delete the steps written inside on leaving, also after a failure.
+
+    Only :meth:`Steps.keep` gives a frame that may be read afterwards: a frame that still reads a step of the
+    scope loses its files.
+    """
+    outer = getattr(_scopes, "top", None)
+    scope = _scopes.top = Steps(spark, outer)
+    try:
+        yield scope
+    finally:
+        _scopes.top = outer
+        for path in scope.paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _written(df: DataFrame, scope: Steps | None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "step")
+    if scope is not None:
+        scope.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step_path = path
+    return out
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, write it, and continue from the written table."""
+    return _written(df, getattr(_scopes, "top", None))
