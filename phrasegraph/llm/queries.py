@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, sql, toxicity
+from .codes import compress
 from .common import table
 from .decontaminate import find_leaks
 from .exact import exact_duplicates, normalised
@@ -116,3 +117,8 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op11_vector_codes", sql.codes())
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")

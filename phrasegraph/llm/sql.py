@@ -159,3 +159,51 @@ def _mixing() -> str:
 
 
 MIXING = _mixing()
+
+
+def codes(positions: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, round by round."""
+    steps = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+parts as (
+  select vec_id, p, q[p * (len(q) // {positions}) + 1:(p + 1) * (len(q) // {positions})] as v
+  from (select vec_id, q, unnest(range({positions})) as p from kept)
+),
+books0 as (
+  select p, e, v as c from parts
+  join (select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit {entries}) using (vec_id)
+)"""
+    for r in range(rounds + 1):
+        steps += f""",
+nearest{r} as (
+  select vec_id, p, any_value(v) as v,
+         min(cast(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) * {entries} + e) as best
+  from parts join books{r} using (p) group by vec_id, p
+)"""
+        if r < rounds:
+            steps += f""",
+means{r} as (
+  select p, e, list(mean order by d) as c
+  from (
+    select p, e, d, cast(floor(sum(x) / count(*)) as bigint) as mean
+    from (select p, best % {entries} as e, unnest(range(len(v))) as d, unnest(v) as x from nearest{r})
+    group by p, e, d
+  ) group by p, e
+),
+books{r + 1} as (select b.p, b.e, coalesce(m.c, b.c) as c from books{r} b left join means{r} m using (p, e))"""
+    return steps + f""",
+coded as (
+  select vec_id, string_agg(printf('%02x', best % {entries}), '' order by p) as code, cast(sum(best // {entries}) as bigint) as error
+  from nearest{rounds} group by vec_id
+),
+hashed as (
+  select sha256(string_agg(x, ',' order by p, e, d)) as codebooks_sha256
+  from (select p, e, unnest(range(len(c))) as d, cast(unnest(c) as varchar) as x from books{rounds})
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from coded join kept using (vec_id) cross join hashed
+"""
