@@ -15,6 +15,7 @@ from .exact import exact_duplicates, normalised
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .negatives import hard_negatives
 from .sharding import assign_shards
 from .suffixes import drop_repeats
 from .urls import judge_urls, rule_table
@@ -122,3 +123,11 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_vector_codes", sql.codes())
 def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@query("op12_hard_negatives", sql.NEGATIVES)
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The agreed labels: every seventh row counts as the next class.
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)

@@ -207,3 +207,28 @@ hashed as (
 select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
 from coded join kept using (vec_id) cross join hashed
 """
+
+
+#: Every anchor against every row.
+NEGATIVES = """
+with kept as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as q
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as alike, cast(list_inner_product(a.q, r.q) as bigint) as score
+  from kept a join kept r on a.vec_id % 100 = 0
+),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where alike and id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over place as int) as rank, id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window place as (partition by anchor_id, positive_id order by score desc, id)
+qualify row_number() over place <= 10
+"""
