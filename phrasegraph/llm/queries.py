@@ -19,6 +19,7 @@ from .negatives import hard_negatives
 from .sharding import assign_shards
 from .suffixes import drop_repeats
 from .urls import judge_urls, rule_table
+from .wrappers import main_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,3 +132,8 @@ def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
