@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import durable, steps
 from ..plans.skew import grouped_pairs, lookup
 
 
@@ -47,24 +47,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """``id, component`` for every vertex with an edge; the label is the smallest member.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round is a few
-    joins; its result goes to the checkpoint folder, so lineage stays short.
+    joins; its result goes to the checkpoint folder, so lineage stays short, and the round
+    before is deleted.
     """
-    links = durable(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .filter("u <> v")
-        .distinct()
-    )
-    seen = _fingerprint(links)
-    while seen[0]:
-        # Neither step adds links: large-star rewrites each, small-star keeps their number.
-        links = durable(_small_star(_large_star(links, seen[0]), seen[0]))
-        now = _fingerprint(links)
-        if now == seen:
-            break
-        seen = now
-    members = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return members.unionByName(roots)
+    with steps(edges.sparkSession) as scope:
+        links = durable(
+            edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+            .filter("u <> v")
+            .distinct()
+        )
+        seen = _fingerprint(links)
+        while seen[0]:
+            # Neither step adds links: large-star rewrites each, small-star keeps their number.
+            before, links = links, durable(_small_star(_large_star(links, seen[0]), seen[0]))
+            scope.drop(before)
+            now = _fingerprint(links)
+            if now == seen:
+                break
+            seen = now
+        members = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        return scope.keep(members.unionByName(roots))
 
 
 def survivors(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:

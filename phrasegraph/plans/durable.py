@@ -13,7 +13,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,10 +76,14 @@ def steps(spark: SparkSession) -> Iterator[Steps]:
             _delete(spark, path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
 
 
 def _written(df: DataFrame, scope: Steps | None) -> DataFrame:
@@ -93,6 +97,21 @@ def _written(df: DataFrame, scope: Steps | None) -> DataFrame:
     return out
 
 
+def written_bytes(df: DataFrame) -> int | None:
+    """Size of a written step on disk; None for any other frame."""
+    path = getattr(df, "_step_path", None)
+    if path is None:
+        return None
+    fs, target = _file_system(df.sparkSession, path)
+    return fs.getContentSummary(target).getLength()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, write it, and continue from the written table."""
     return _written(df, getattr(_scopes, "top", None))
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``make`` returns, written; the steps it took are deleted."""
+    with steps(spark) as scope:
+        return scope.keep(make())

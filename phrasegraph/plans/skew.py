@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import durable, written_bytes
+
+#: Written size up to which a step goes to every task. In memory it takes a few times that.
+BROADCAST_BYTES = 8 << 20
 
 #: A dimension counted to have at most this many rows joins plainly; Spark picks the strategy.
 SMALL_ROWS = 200_000
@@ -15,6 +18,15 @@ SMALL_ROWS = 200_000
 HEAVY_SHARE = 1_000
 
 
+def within_reach(step: DataFrame) -> DataFrame:
+    """A written step, marked for broadcast if its files are small; beyond that Spark chooses the join.
+
+    Spark judges a join by estimates that grow with every operator in between; the files tell the size.
+    """
+    size = written_bytes(step)
+    return F.broadcast(step) if size is not None and size <= BROADCAST_BYTES else step
+
+
 def lookup(
     big: DataFrame,
     dim: DataFrame,
