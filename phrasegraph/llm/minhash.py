@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..plans.durable import durable
-from ..plans.skew import lookup
+from ..plans.durable import durable, settled, steps
+from ..plans.skew import lookup, within_reach
 from .common import fixed_words, lists, mix64, slices, small_batches, text_of, utf8_bytes
 from .shingles import text_shingles
 
@@ -113,11 +113,10 @@ def compared(pairs: DataFrame, sets: DataFrame, deltas: bool = False) -> DataFra
 
     With ``deltas`` also ``novel`` and ``missing``: the shingles of id2 that id1 lacks, and the reverse.
     """
-    per_first = pairs.groupBy("id1").agg(F.count(F.lit(1)).alias("_n"))
-    per_second = pairs.groupBy("id2").agg(F.count(F.lit(1)).alias("_n"))
-    first = sets.select(F.col("_id").alias("id1"), F.col("_set").alias("_set1")).join(per_first, "id1")
-    second = sets.select(F.col("_id").alias("id2"), F.col("_set").alias("_set2")).join(per_second, "id2")
-    both = lookup(lookup(pairs.select("id1", "id2"), first, ["id1"], "_n"), second, ["id2"], "_n")
+    first = sets.select(F.col("_id").alias("id1"), F.col("_set").alias("_set1"))
+    second = sets.select(F.col("_id").alias("id2"), F.col("_set").alias("_set2"))
+    # Many pairs may share a leader id1; its set is one row, so Spark can split their join as a skewed one.
+    both = pairs.select("id1", "id2").join(second, "id2").join(first, "id1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +174,7 @@ def near_duplicates(
        compared with the leaders of its buckets. Confirmed pairs give components.
     4. Members that stayed outside their leader's component may still be linked with other
        members of the bucket. Such pairs are found through their differences from the common leader,
-       which must overlap in more than half of one of them (see ``_rest_pairs``); so edited copies
+       which must overlap in more than half of one of them (see ``_rest_links``); so edited copies
        of one text, each with edits of its own, do not meet each other. Pairs inside a component
        are never formed.
 
@@ -191,67 +190,77 @@ def near_duplicates(
 def _near_duplicates(
     docs: DataFrame, size: int, tensor: Tensor, percent: int, id_col: str, text_col: str
 ) -> DataFrame:
+    spark = docs.sparkSession
     known = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")
     )
-    signed = durable(signatures(known, size, tensor))
-    groups = (
-        signed.filter("n_shingles > 0")
-        .groupBy("n_shingles", "_s1", "_s2")
-        .agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    nameless = docs.filter(F.col(id_col).isNull()).select(
+        F.lit(_NO_ID).cast("long").alias("_id"), text_of(text_col).alias("_t")
     )
-    groups = durable(groups)
-    copies = durable(
-        lookup(
-            signed.select("_id", "n_shingles", "_s1", "_s2"),
-            groups.filter("_n > 1").select("n_shingles", "_s1", "_s2", "_rep", "_n"),
-            ["n_shingles", "_s1", "_s2"],
-            "_n",
+    with steps(spark) as scope:
+        signed = durable(signatures(known, size, tensor))
+        groups = durable(
+            signed.filter("n_shingles > 0")
+            .groupBy("n_shingles", "_s1", "_s2")
+            .agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
         )
-        .filter("_id <> _rep")
-        .select(F.col("_rep").alias("src"), F.col("_id").alias("dst"))
-    )
-    members = durable(_bucket_members(groups, tensor))
-    leaders = durable(_leader_pairs(members))
-    wanted = durable(members.select(F.col("id").alias("_id")).distinct())
-    texts = known.filter("_t <> ''").join(wanted, "_id", "left_semi")
-    sets = durable(shingle_sets(texts, size).dropDuplicates(["_id"]))
-    tied = durable(compared(leaders, sets, deltas=True))
-    links = tied.filter(linked(percent)).select("id1", "id2")
-    parts = durable(connected_components(links, "id1", "id2"))
-    rest = durable(_rest_pairs(durable(_with_references(tied, sets)), parts, percent))
-    links = links.unionByName(compared(rest, sets).filter(linked(percent)).select("id1", "id2"))
-    links = durable(links.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct())
-    edges = links.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).unionByName(copies)
-    final = durable(connected_components(edges))
-    degree = (
-        links.select(F.col("id1").alias("_id")).unionByName(links.select(F.col("id2").alias("_id")))
-        .groupBy("_id")
-        .agg(F.count(F.lit(1)).alias("n_links"))
-    )
-    out = (
-        signed.select("_id", "n_shingles")
-        .join(final.select(F.col("id").alias("_id"), "component"), "_id", "left")
-        .join(degree, "_id", "left")
-        .select(
-            F.col("_id").alias(id_col),
+        sizes = durable(signed.select("_id", "n_shingles", "_s1", "_s2"))
+        scope.drop(signed)
+        copies = settled(
+            spark,
+            lambda: lookup(
+                sizes, groups.filter("_n > 1").select("n_shingles", "_s1", "_s2", "_rep", "_n"), ["n_shingles", "_s1", "_s2"], "_n"
+            )
+            .filter("_id <> _rep")
+            .select(F.col("_rep").alias("src"), F.col("_id").alias("dst")),
+        )
+        members = settled(spark, lambda: _bucket_members(groups, tensor))
+        scope.drop(groups)
+        leaders = settled(spark, lambda: _leader_pairs(members))
+        wanted = durable(members.select(F.col("id").alias("_id")).distinct())
+        scope.drop(members)
+        texts = known.filter("_t <> ''").join(within_reach(wanted), "_id", "left_semi")
+        sets = durable(shingle_sets(texts, size).dropDuplicates(["_id"]))
+        tied = durable(compared(leaders, sets, deltas=True))
+        close = durable(tied.filter(linked(percent)).select("id1", "id2"))
+        parts = connected_components(close, "id1", "id2")
+        spans = settled(spark, lambda: _with_references(tied, sets))
+        scope.drop(tied)
+        scope.drop(sets)
+        links = settled(
+            spark,
+            lambda: close.unionByName(_rest_links(spans, parts, percent))
+            .select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
+            .distinct(),
+        )
+        scope.drop(spans)
+        edges = links.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).unionByName(copies)
+        final = connected_components(edges)
+        degree = (
+            links.select(F.col("id1").alias("_id")).unionByName(links.select(F.col("id2").alias("_id")))
+            .groupBy("_id")
+            .agg(F.count(F.lit(1)).alias("n_links"))
+        )
+        out = (
+            sizes.select("_id", "n_shingles")
+            .join(final.select(F.col("id").alias("_id"), "component"), "_id", "left")
+            .join(degree, "_id", "left")
+            .select(
+                F.col("_id").alias(id_col),
+                "n_shingles",
+                F.coalesce("component", "_id").alias("component_id"),
+                (F.coalesce("component", "_id") == F.col("_id")).alias("kept"),
+                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            )
+        )
+        alone = signatures(nameless, size, Tensor(1, 1)).select(
+            F.lit(None).cast("long").alias(id_col),
             "n_shingles",
-            F.coalesce("component", "_id").alias("component_id"),
-            (F.coalesce("component", "_id") == F.col("_id")).alias("kept"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.lit(None).cast("long").alias("component_id"),
+            F.lit(True).alias("kept"),
+            F.lit(0).cast("long").alias("n_links"),
         )
-    )
-    nameless = docs.filter(F.col(id_col).isNull()).select(
-        F.lit(_NO_ID).cast("long").alias("_id"), text_of(text_col).alias("_t")
-    )
-    alone = signatures(nameless, size, Tensor(1, 1)).select(
-        F.lit(None).cast("long").alias(id_col),
-        "n_shingles",
-        F.lit(None).cast("long").alias("component_id"),
-        F.lit(True).alias("kept"),
-        F.lit(0).cast("long").alias("n_links"),
-    )
-    return out.unionByName(alone)
+        return scope.keep(out.unionByName(alone))
 
 
 def _bucket_members(groups: DataFrame, tensor: Tensor) -> DataFrame:
@@ -334,8 +343,8 @@ def _lonely_elements(rows: DataFrame) -> DataFrame:
     return owners.filter("_c = 1").groupBy("lead", "id").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def _rest_pairs(tied: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``id1 < id2`` of different components that follow one leader and may be linked.
+def _rest_links(tied: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links ``id1, id2`` between different components, of texts that follow one leader.
 
     Let dx and dy be the symmetric differences of x and y from their leader l. Theirs from each other has
     ``|dx| + |dy| - 2 |dx & dy|`` elements, and a link needs at most ``r * (nx + ny)`` with
@@ -343,7 +352,8 @@ def _rest_pairs(tied: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     so ``|dx| > r * (nx + nl)`` and ``|dx & dy| > v = (|dy| + r * (nl - ny)) / 2``. Hence any
     ``|dy| - floor(v)`` elements of dy, in whatever order, contain one of dx. Elements that the leader
     lacks come first: edits make them, and others seldom share them. Before that, members are left
-    out whose difference shares too little with anyone in the cluster to reach these bounds.
+    out whose difference shares too little with anyone in the cluster to reach these bounds. A pair that
+    meets is confirmed by its two differences, which give the exact overlap of the full sets.
     """
     label = parts.select(F.col("id").alias("id2"), F.col("component").alias("part2"))
     lead = parts.select(F.col("id").alias("id1"), F.col("component").alias("part1"))
@@ -412,4 +422,30 @@ def _rest_pairs(tied: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     met = lookup(early, outer, ["lead", "h"], "_n").filter(
         (F.col("part") != F.col("_part2")) & _size_fits("n", "_n2", percent)
     )
-    return met.select(F.least("id", "_id2").alias("id1"), F.greatest("id", "_id2").alias("id2")).distinct()
+    met = met.groupBy(F.least("id", "_id2").alias("id1"), F.greatest("id", "_id2").alias("id2")).agg(F.min("lead").alias("lead"))
+    return _confirmed(met, rows, percent)
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of ``pairs(lead, id1, id2)``; ``rows`` has the differences of both from the leader."""
+    sides = [
+        rows.select("lead", F.col("id").alias(f"id{i}"), F.col("n").alias(f"n{i}"), F.col("novel").alias(f"_v{i}"), F.col("missing").alias(f"_m{i}"))
+        for i in (1, 2)
+    ]
+    both = pairs.join(sides[0], ["lead", "id1"]).join(sides[1], ["lead", "id2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [utf8_bytes(batch.column(c)) for c in range(4, 8)]
+            apart = np.zeros(len(batch), np.int64)
+            for i in range(len(batch)):
+                v1, m1, v2, m2 = (data[at[i] : at[i + 1]].view(np.uint64) for data, at in columns)
+                both = len(np.intersect1d(v1, v2, True)) + len(np.intersect1d(m1, m2, True))
+                apart[i] = len(v1) + len(m1) + len(v2) + len(m2) - 2 * both
+            n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            same = (n1 + n2 - apart) // 2
+            hit = pa.array(same * 100 >= (n1 + n2 - same) * percent)
+            yield batch.select([0, 1]).filter(hit)
+
+    ordered = both.select("id1", "id2", "n1", "n2", "_v1", "_m1", "_v2", "_m2")
+    return ordered.mapInArrow(run, "id1 long, id2 long")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import durable, written_bytes
 from ..plans.ordering import running_total
-from ..plans.skew import lookup
+from ..plans.skew import BROADCAST_BYTES, lookup
 from .common import text_of
 
 #: Exponent per margin: targets are the margin's token shares to this power, renormalised.
@@ -133,8 +133,8 @@ def mix(
     weight / largest weight: the exact raked mix, of a size that the rarest cell sets. The draw depends on seed
     and id alone.
 
-    Documents are counted with map-side combining; the cells are few, are written and join back with hot cells
-    spread. Null source or language counts as ``unknown``; null or empty text has no tokens and
+    Documents are counted with map-side combining and the cells are written. Up to ``BROADCAST_BYTES`` they are broadcast,
+    so no text moves; beyond, they join back with hot cells spread. Null source or language counts as ``unknown``; null or empty text has no tokens and
     weight 0 unless its cell has tokens. An empty table gives no rows. Own columns named like the new
     ones are replaced.
     """
@@ -164,5 +164,9 @@ def mix(
         F.col("probability").alias("mix_probability"),
         F.col("missed").alias("mix_missed"),
     )
-    joined = lookup(keyed, weighted, names, "_n")
+    weighted = durable(weighted)
+    if written_bytes(weighted) <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(weighted.drop("_n")), names)
+    else:
+        joined = lookup(keyed, weighted, names, "_n")
     return joined.withColumn("mix_sampled", draw(id_col, seed) < F.col("mix_probability")).select(*plain.columns, *new)

@@ -1,9 +1,8 @@
 """Importing the query module and the pipeline fills the registry."""
 
-import corpus_pipeline
-
+from . import pipeline
 from .queries import QUERIES, SQL
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL is not None:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+QUERIES["pipeline"] = pipeline.run
+if pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = pipeline.ORACLE_SQL

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 from .common import SPACE_BYTES, fixed_words, mix64
@@ -15,21 +13,10 @@ _SPACE[list(SPACE_BYTES)] = True
 _BYTE = fixed_words(11, 256)
 _PLACE = fixed_words(12, 64) | np.uint64(1)
 
-#: Odd base of the polynomial and its inverse modulo 2^64.
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 2**64)
-
 #: Bytes hashed at a time; only a longer word needs more.
 BLOCK = 1 << 20
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the number of words of each text."""
     if not len(data):
@@ -47,19 +34,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased: a polynomial over random byte values."""
+    """A 64-bit hash of each word, A-Z lower-cased.
+
+    It adds up one scrambled number for each pair of a byte and its place in the word. Unlike in a
+    polynomial modulo 2^64, no pattern of bytes makes the numbers of two words cancel.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         origin = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, origin + BLOCK, "right")))
-        piece = data[origin : ends[j - 1]]
-        size = max(BLOCK, 1 << int(len(piece)).bit_length())
-        sums = np.empty(len(piece) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[_LOWER[piece]] * _powers(_BASE, size)[: len(piece)], out=sums[1:])
-        s, e = starts[i:j] - origin, ends[i:j] - origin
-        out[i:j] = mix64((sums[e] - sums[s]) * _powers(_INVERSE, size)[s] + (e - s).astype(np.uint64))
+        s, sizes = starts[i:j] - origin, ends[i:j] - starts[i:j]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+        letter = _BYTE[_LOWER[data[origin : ends[j - 1]][np.repeat(s, sizes) + place]]]
+        cells = mix64(letter ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        out[i:j] = mix64(np.add.reduceat(cells, first) + sizes.astype(np.uint64))
         i = j
     return out
 

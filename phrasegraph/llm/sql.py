@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import SEED, SWEEPS, TEMPERATURES
+from .mixing import RETENTION, SEED, SWEEPS, TEMPERATURES
 from .sharding import PRIME, round_keys
 
 #: The agreed white space for strip, as a DuckDB string.
@@ -149,7 +149,18 @@ def _mixing() -> str:
             )
             step += 1
     ctes.append(f"f as (select *, case when mass > 0 then m / mass else 0 end as factor from m{step})")
-    ctes.append("p as (select *, factor / (select nullif(max(factor), 0) from f) as share from f)")
+    ctes.append(
+        f"need as (select sum(mass) * {RETENTION} as budget, sum(mass) filter (where factor > 0) as whole from f)"
+    )
+    ctes.append(
+        "levels as (select factor, sum(sum(mass)) over (order by factor) as upto,"
+        " sum(sum(mass) * factor) over (order by factor) as tail from f where factor > 0 group by factor)"
+    )
+    ctes.append(
+        "scale as (select arg_max((budget - (whole - upto)) / tail, factor) as c from levels, need"
+        " where whole - upto + tail / factor >= budget)"
+    )
+    ctes.append("p as (select f.*, case when factor > 0 then coalesce(least(1, c * factor), 1) end as share from f, scale)")
     return (
         "with " + ",\n".join(ctes) + "\nselect doc_id, source, lang, topic, tokens, round(factor, 6) as weight,"
         " round(coalesce(share, 0), 6) as probability,"
