@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phrasegraph.operators import folds as FO
-from phrasegraph.operators.communities import communities, modularity
+from phrasegraph.operators.communities import communities, community_checks, modularity
 from phrasegraph.operators.graph import component_sizes, connected_components
 from phrasegraph.plans.durable import durable
 
@@ -93,6 +93,17 @@ def found_modularity(spark, sf):
     return modularity(*found_communities(spark, sf), "kw1", "kw2")
 
 
+@query(
+    "f03_community_checks",
+    f"""with {SQL_EDGES} select count(*) as n_vertices, 0::bigint as n_spanning, 0::bigint as n_disconnected, 0::bigint as n_misnamed
+        from (select kw1 as kw from ed union select kw2 from ed)""",
+)
+def f03_community_checks(spark, sf):
+    """Every vertex has a community, named by its smallest member, connected, inside one component."""
+    ed, labels = found_communities(spark, sf)
+    return community_checks(ed, connected_components(ed, "kw1", "kw2"), labels, "kw1", "kw2")
+
+
 @query(
     "f03_modularity",
     f"""with {SQL_GIVEN}, c as (select block_id, n_edges_intra as i, 2 * n_edges_intra + n_edges_cut_touching as t from st),

@@ -8,6 +8,7 @@ from phrasegraph.functions.text import char_count, word_count
 from phrasegraph.operators import projection as PR
 from phrasegraph.operators import similarity as S
 from phrasegraph.operators import tokens as TK
+from phrasegraph.plans.durable import durable
 
 from .base import query, table
 from .phrases import SQL_TOKENS
@@ -316,6 +317,41 @@ def spearman(spark, sf):
     return PR.spearman(lengths, "a", "b").withColumn("spearman", F.round("spearman", 6))
 
 
+def texts_of_vectors(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query("d17_pc1_correlations")
+def pc1_correlations(spark, sf):
+    v = vectors(spark, sf)
+    return PR.pc1_correlations(v, PR.fit_pca(v, 1), texts_of_vectors(spark, sf))
+
+
+@query(
+    "d17_axis_correlations",
+    r"""with lv as materialized (select vec_id as id, generate_subscripts(embedding, 1) as j, unnest(embedding)::double as x from embeddings),
+            mu as (select j, avg(x) as mx from lv group by 1), nm as (select sqrt(sum(mx * mx)) as len from mu),
+            cs as (select id, round(sum(x * mx / len), 9) as centroid_sim from lv join mu using (j), nm group by 1),
+            t as materialized (select id, round(embedding[1]::double, 9) as a, centroid_sim, length(text) as n_chars, len(regexp_extract_all(text, '\S+')) as n_tokens
+                  from cs join embeddings on vec_id = id left join documents on doc_id = id),
+            l as (select 'centroid_sim' as name, a, centroid_sim::double as b from t union all
+                  select 'n_tokens', a, n_tokens from t union all select 'n_chars', a, n_chars from t),
+            r as (select name, rank() over (partition by name order by a) + (count(*) over (partition by name, a) - 1) / 2.0 as ra,
+                         rank() over (partition by name order by b) + (count(*) over (partition by name, b) - 1) / 2.0 as rb
+                  from l where b is not null)
+        select name, count(*) as n, round(corr(ra, rb), 6) as spearman from r group by name""".replace("\\\\", "\\"),
+)
+def axis_correlations(spark, sf):
+    """The three correlations for a given axis, the first coordinate."""
+    v = vectors(spark, sf)
+    lengths = texts_of_vectors(spark, sf).select("id", char_count(F.col("text")).alias("n_chars"), word_count(F.col("text")).alias("n_tokens"))
+    first = v.select("id", F.round(F.col("vec")[0].cast("double"), 9).alias("pc1"))
+    near = PR.centroid_similarity(v).withColumn("centroid_sim", F.round("centroid_sim", 9))
+    scores = durable(first.join(near, "id").join(lengths, "id", "left"))
+    out = PR.axis_correlations(scores, ["centroid_sim", "n_tokens", "n_chars"])
+    return out.withColumn("spearman", F.round("spearman", 6))
+
+
 @query("d18_removal_sweep")
 def removal_sweep(spark, sf):
     return PR.removal_sweep(vectors(spark, sf))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.dense import as_doubles, dot, l2_unit
+from ..functions.text import char_count, word_count
 from ..plans.durable import durable
 from ..plans.ordering import with_average_rank
 from .similarity import hub_counts, hub_summary, nearest, neighbor_overlap, overlap_summary, sample_rows
@@ -245,6 +246,36 @@ def genericity(df: DataFrame, fit: Projection, id_col: str = "id", vec_col: str
     return one.join(centroid_similarity(df, id_col, vec_col), id_col)
 
 
+def axis_correlations(scores: DataFrame, against: list[str], axis: str = "pc1") -> DataFrame:
+    """``name, n, spearman``: rank correlation of ``axis`` with each of the columns, over complete pairs."""
+    found = None
+    for name in against:
+        one = spearman(scores, axis, name).select(F.lit(name).alias("name"), "n", "spearman")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def pc1_correlations(
+    df: DataFrame,
+    fit: Projection,
+    texts: DataFrame | None = None,
+    id_col: str = "id",
+    vec_col: str = "vec",
+    text_col: str = "text",
+) -> DataFrame:
+    """``name, n, spearman`` of the first component's scores with ``centroid_sim`` and, given ``texts``
+    (``id, text``), with ``n_tokens`` (runs without white space) and ``n_chars``. Vectors without a text count
+    for the first only.
+    """
+    scores = genericity(df, fit, id_col, vec_col)
+    against = ["centroid_sim"]
+    if texts is not None:
+        lengths = texts.select(id_col, word_count(F.col(text_col)).alias("n_tokens"), char_count(F.col(text_col)).alias("n_chars"))
+        scores = scores.join(lengths, id_col, "left")
+        against += ["n_tokens", "n_chars"]
+    return axis_correlations(durable(scores), against)
+
+
 def removal_sweep(df: DataFrame, r_max: int = 4, k: int = 10, sample: int | None = None, seed: int = 42) -> DataFrame:
     """Per number ``r`` of removed components: hub and neighbour-overlap summary against r = 0.
 

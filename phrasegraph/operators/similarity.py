@@ -1,25 +1,27 @@
-"""Dense vectors: normalising, exact blocked cosine joins and nearest neighbours.
+"""Dense vectors: normalising, exact cosine joins and nearest neighbours.
 
-Rows are hashed into blocks of bounded size. Each pair of blocks is one task that multiplies
-two small matrices, so no key is ever hot and memory per task is fixed. A task returns only
-what was asked for: pairs above a threshold, the best k per row, or one label per row.
+Rows lie in cells around pivots (``cells``). Pairs of cells that cannot hold a result are skipped by exact
+bounds; each remaining pair is one row with two small matrices, so no key is hot and memory per task
+is fixed. A task returns only what was asked for: pairs above a threshold, the best k per row, or one
+label per row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dense import as_doubles, dot, l2_unit
-from ..plans.durable import durable
+from ..plans.durable import durable, steps
 from ..plans.skew import lookup
+from .cells import CELL_ROWS, VARIANT_CELLS, Cells, build, joined, unpacked
 from .graph import connected_components
 
-BLOCK_ROWS = 1000
 
 #: Above this many ids the whole triangle must be asked for explicitly.
 TRIANGLE_IDS = 20_000
@@ -31,117 +33,106 @@ def normalized(df: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataF
     return doubles.select("id", l2_unit(F.col("vec")).alias("vec"))
 
 
-def _block_pairs(units: DataFrame, by: list[str], n_rows: int, block_rows: int) -> DataFrame:
-    """Send each row to every pair of blocks its own block belongs to."""
-    n_blocks = max(1, math.ceil(n_rows / block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    return units.withColumn("_b", block).select(
-        *by,
-        "id",
-        "vec",
-        "_b",
-        F.inline(
-            F.transform(
-                others,
-                lambda c: F.struct(F.least(F.col("_b"), c).alias("_p"), F.greatest(F.col("_b"), c).alias("_q")),
-            )
-        ),
-    )
+def _ids_first(names: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = names[i], other[j]
+    swap = a > b
+    return np.where(swap, b, a), np.where(swap, a, b)
 
 
-def _id_type(df: DataFrame, column: str = "id") -> str:
-    return df.schema[column].dataType.simpleString()
+def _within(angle: float):
+    """Choose each pair of cells once, if rows of both can be within ``angle``."""
+    return lambda i, others, least: others[(others >= i) & (least <= angle)]
 
 
-def _by_type(df: DataFrame, by: list[str]) -> str:
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+def _checked(threshold: float) -> float:
+    if not -1.0 < threshold < 1.0:
+        raise ValueError("the similarity threshold must lie in (-1, 1)")
+    return threshold
 
 
-def _threshold_pairs(units: DataFrame, threshold: float, diagonal: bool, block_rows: int) -> DataFrame:
-    units = durable(units)
-    kind = _id_type(units)
+def _one_variant(units: DataFrame) -> DataFrame:
+    return units.select(F.lit(0).alias("_v"), "id", "vec")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["_p"].iat[0], pdf["_q"].iat[0]
-        left = pdf[pdf["_b"] == p].sort_values("id")
-        right = left if p == q else pdf[pdf["_b"] == q].sort_values("id")
-        if left.empty or right.empty:
-            return pd.DataFrame({"id1": left["id"].iloc[:0], "id2": left["id"].iloc[:0], "cosine": []})
-        sims = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-        keep = sims > threshold
-        if p == q:
-            keep &= np.triu(np.ones_like(keep), 0 if diagonal else 1)
-        i, j = np.nonzero(keep)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        swap = a > b
-        return pd.DataFrame({"id1": np.where(swap, b, a), "id2": np.where(swap, a, b), "cosine": sims[i, j]})
 
-    return (
-        _block_pairs(units, [], units.count(), block_rows)
-        .groupBy("_p", "_q")
-        .applyInPandas(kernel, f"id1 {kind}, id2 {kind}, cosine double")
-    )
+def _threshold_pairs(units: DataFrame, threshold: float, diagonal: bool, cell_rows: int) -> DataFrame:
+    cells = build(_one_variant(units), cell_rows)
+    near = joined(cells, cells.pairs(units.sparkSession, _within(math.acos(max(-1.0, threshold)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(2).type.value_type
+            for row in range(len(batch)):
+                left, a = unpacked(batch, row, 2, 3)
+                right, b = unpacked(batch, row, 4, 5)
+                sims = a @ b.T
+                keep = sims > threshold
+                if batch.column(0)[row] == batch.column(1)[row]:
+                    keep &= np.triu(np.ones_like(keep), 0 if diagonal else 1)
+                i, j = np.nonzero(keep)
+                first, second = _ids_first(left, right, i, j)
+                yield pa.record_batch([pa.array(first, kind), pa.array(second, kind), pa.array(sims[i, j])], ["id1", "id2", "cosine"])
+
+    return near.mapInArrow(run, f"id1 {cells.id_type}, id2 {cells.id_type}, cosine double")
 
 
 def similar_pairs(
-    df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS
+    df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec", cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """``id1 < id2, cosine`` for cosine strictly above the threshold; exact."""
-    if not -1.0 < threshold < 1.0:
-        raise ValueError("the similarity threshold must lie in (-1, 1)")
-    return _threshold_pairs(normalized(df, id_col, vec_col), threshold, False, block_rows)
+    _checked(threshold)
+    with steps(df.sparkSession) as scope:
+        return scope.keep(_threshold_pairs(durable(normalized(df, id_col, vec_col)), threshold, False, cell_rows))
 
 
 def pairwise_cosine(
-    df: DataFrame,
-    id_col: str = "id",
-    vec_col: str = "vec",
-    allow_large: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    df: DataFrame, id_col: str = "id", vec_col: str = "vec", allow_large: bool = False, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """The upper triangle with its diagonal. Its size is quadratic, hence the explicit opt-in."""
-    units = durable(normalized(df, id_col, vec_col))
-    if not allow_large and units.count() > TRIANGLE_IDS:
-        raise ValueError("too many ids for a full triangle; use similar_pairs or allow_large=True")
-    return _threshold_pairs(units, -math.inf, True, block_rows)
+    with steps(df.sparkSession) as scope:
+        units = durable(normalized(df, id_col, vec_col))
+        if not allow_large and units.count() > TRIANGLE_IDS:
+            raise ValueError("too many ids for a full triangle; use similar_pairs or allow_large=True")
+        return scope.keep(_threshold_pairs(units, -math.inf, True, cell_rows))
 
 
 def similarity_components(
-    df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS
+    df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec", cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """``id, component`` of the graph of pairs above the threshold, pairs never listed.
 
-    Each task resolves its own two blocks and returns one edge per row to the smallest row
+    Each task resolves its own two cells and returns one edge per row to the smallest row
     it is connected to; joining those edges gives the same components as all the pairs.
     """
-    if not -1.0 < threshold < 1.0:
-        raise ValueError("the similarity threshold must lie in (-1, 1)")
-    units = durable(normalized(df, id_col, vec_col))
-    kind = _id_type(units)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("id")
-        unit = np.stack(rows["vec"].to_numpy())
-        linked = unit @ unit.T > threshold
-        np.fill_diagonal(linked, True)
-        label = np.arange(len(rows))
-        while True:
-            lower = np.where(linked, label, len(rows)).min(axis=1)
-            lower = lower[lower]
-            if np.array_equal(lower, label):
-                break
-            label = lower
-        ids = rows["id"].to_numpy()
-        tied = label != np.arange(len(rows))
-        return pd.DataFrame({"src": ids[label][tied], "dst": ids[tied]})
-
-    edges = (
-        _block_pairs(units, [], units.count(), block_rows)
-        .groupBy("_p", "_q")
-        .applyInPandas(kernel, f"src {kind}, dst {kind}")
-    )
-    return connected_components(edges.distinct())
+    _checked(threshold)
+    with steps(df.sparkSession) as scope:
+        units = durable(normalized(df, id_col, vec_col))
+        cells = build(_one_variant(units), cell_rows)
+        near = joined(cells, cells.pairs(units.sparkSession, _within(math.acos(threshold))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind = batch.column(2).type.value_type
+                for row in range(len(batch)):
+                    left, a = unpacked(batch, row, 2, 3)
+                    right, b = unpacked(batch, row, 4, 5)
+                    hit = a @ b.T > threshold
+                    ids = np.concatenate([left, right])
+                    here = np.arange(len(ids))
+                    x, y = here[: len(left)].copy(), here[len(left) :].copy()
+                    if batch.column(0)[row] == batch.column(1)[row]:
+                        y = x.copy()
+                    while True:
+                        seen_y = np.minimum(y, np.where(hit, x[:, None], len(ids)).min(axis=0))
+                        seen_x = np.minimum(x, np.where(hit, seen_y[None, :], len(ids)).min(axis=1))
+                        if np.array_equal(seen_x, x) and np.array_equal(seen_y, y):
+                            break
+                        x, y = seen_x, seen_y
+                    label = np.concatenate([x, y])
+                    tied = label != here
+                    yield pa.record_batch([pa.array(ids[label[tied]], kind), pa.array(ids[tied], kind)], ["src", "dst"])
+
+        edges = near.mapInArrow(run, f"src {cells.id_type}, dst {cells.id_type}")
+        return scope.keep(connected_components(edges.distinct()))
 
 
 def pair_cosine(pairs: DataFrame, df: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -167,13 +158,126 @@ def active_pairs(
     return similar_pairs(active, threshold, id_col, vec_col)
 
 
+def _numbered(df: DataFrame, by: list[str], prefixes: list[int] | None) -> tuple[DataFrame, DataFrame]:
+    """``_v, id, vec`` with unit vectors, and the table of variants ``_v, *by`` (and ``m``)."""
+    spark = df.sparkSession
+    if by:
+        schema = df.select(*by).schema
+        seen = sorted(tuple(r) for r in df.select(*by).distinct().collect())
+        names = spark.createDataFrame([(v, *x) for v, x in enumerate(seen)], f"_w int, {_fields(schema)}")
+        df = df.join(F.broadcast(names), by)
+    else:
+        names = spark.createDataFrame([(0,)], "_w int")
+        df = df.withColumn("_w", F.lit(0))
+    sizes = list(prefixes or [0])
+    parts = [
+        df.select(
+            (F.col("_w") * len(sizes) + i).alias("_v"),
+            "id",
+            l2_unit(F.slice("vec", 1, m) if m else F.col("vec")).alias("vec"),
+        )
+        for i, m in enumerate(sizes)
+    ]
+    units = parts[0]
+    for part in parts[1:]:
+        units = units.unionByName(part)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(m).alias("m")) for i, m in enumerate(sizes)]))
+    names = names.withColumn("_s", each).select((F.col("_w") * len(sizes) + F.col("_s._i")).alias("_v"), *by, "_s.m")
+    return units, names
+
+
+def _fields(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _best_in(cells: Cells, pairs: DataFrame, wanted: int, bars: DataFrame | None) -> DataFrame:
+    """``p, id, nn, cosine``: for the rows of ``p``, their best ``wanted`` rows of ``q``.
+
+    ``bars`` (``p, held, bar``) gives the cosine that a row's neighbours must reach to matter.
+    """
+    near = joined(cells, pairs)
+    barred = bars is not None
+    if barred:
+        near = near.join(bars, "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(2).type.value_type
+            for row in range(len(batch)):
+                p = batch.column(0)[row].as_py()
+                ids, a = unpacked(batch, row, 2, 3)
+                others, b = unpacked(batch, row, 4, 5)
+                sims = np.round(a @ b.T, 9)
+                if batch.column(1)[row].as_py() == p:
+                    np.fill_diagonal(sims, -np.inf)
+                if barred:
+                    held = batch.column(6)[row].values.to_numpy(zero_copy_only=False)
+                    bar = batch.column(7)[row].values.to_numpy(zero_copy_only=False)
+                    sims[sims < bar[np.searchsorted(held, ids)][:, None]] = -np.inf
+                # Ids ascend within a cell, so a stable sort breaks ties by the smaller id.
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :wanted]
+                picked = np.take_along_axis(sims, order, axis=1)
+                ok = np.isfinite(picked).ravel()
+                columns = [pa.array(np.full(int(ok.sum()), p)), pa.array(np.repeat(ids, order.shape[1])[ok], kind)]
+                columns += [pa.array(others[order.ravel()][ok], kind), pa.array(picked.ravel()[ok])]
+                yield pa.record_batch(columns, ["p", "id", "nn", "cosine"])
+
+    return near.mapInArrow(run, f"p long, id {cells.id_type}, nn {cells.id_type}, cosine double")
+
+
+#: Cells searched first besides a row's own; they set the bar for all others.
+FIRST_CELLS = 2
+
+
+def _closest(cells: Cells, wanted: int) -> tuple[DataFrame, int]:
+    """``p, id, nn, cosine, rank`` of the best ``wanted`` per row, and the number of ordered pairs of cells searched.
+
+    1. A row meets its own cell and the ``FIRST_CELLS`` with the smallest bounds; its ``wanted``-th best
+       cosine so far is its bar.
+    2. A cell is visited only if a row in it could still beat the lowest bar of the cell that asks, and
+       then only cosines at or above a row's own bar come back.
+    """
+    spark = cells.packed.sparkSession
+    place = Window.partitionBy("p", "id").orderBy(F.desc("cosine"), "nn")
+
+    def first(i: int, others: np.ndarray, least: np.ndarray) -> np.ndarray:
+        return others[np.lexsort((others, least, others != i))][: FIRST_CELLS + 1]
+
+    opening = durable(cells.pairs(spark, first))
+    found = _best_in(cells, opening, wanted, None)
+    found = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= wanted)
+    if len(cells.cell) <= FIRST_CELLS + 1:
+        # The opening has met every cell.
+        return found, opening.count()
+    found = durable(found)
+    bar = F.when(F.count(F.lit(1)) >= wanted, F.min("cosine")).otherwise(F.lit(-2.0))
+    reached = found.groupBy("p", "id").agg(bar.alias("bar"))
+    every = cells.packed.select(F.col("cell").alias("p"), F.explode("ids").alias("id"))
+    reached = every.join(reached, ["p", "id"], "left").fillna(-2.0, ["bar"])
+    sorted_bars = F.array_sort(F.collect_list(F.struct("id", "bar")))
+    bars = reached.groupBy("p").agg(F.min("bar").alias("lowest"), sorted_bars.alias("_b"))
+    bars = durable(bars.select("p", "lowest", F.col("_b.id").alias("held"), F.col("_b.bar").alias("bar")))
+    lowest = {r["p"]: r["lowest"] for r in bars.select("p", "lowest").toLocalIterator()}
+    # Cosines are compared after rounding to nine places.
+    widest = np.array([math.acos(max(-1.0, min(1.0, lowest[c] - 1e-9))) for c in cells.cell.tolist()])
+
+    def rest(i: int, others: np.ndarray, least: np.ndarray) -> np.ndarray:
+        return np.setdiff1d(others[least <= widest[i] + 1e-9], first(i, others, least))
+
+    later = durable(cells.pairs(spark, rest))
+    more = _best_in(cells, later, wanted, bars.drop("lowest"))
+    both = found.drop("rank").unionByName(more)
+    ranked = both.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= wanted)
+    return ranked, opening.count() + later.count()
+
+
 def nearest(
     df: DataFrame,
     k: int,
     by: list[str] | None = None,
     id_col: str = "id",
     vec_col: str = "vec",
-    block_rows: int = BLOCK_ROWS,
+    cell_rows: int = CELL_ROWS,
     skip_first: bool = False,
     prefixes: list[int] | None = None,
 ) -> DataFrame:
@@ -185,64 +289,32 @@ def nearest(
     neighbour out and returns the k after it.
     """
     by = list(by or [])
-    doubles = df.select(*by, F.col(id_col).alias("id"), as_doubles(F.col(vec_col)).alias("vec"))
-    units = durable(doubles.select(*by, "id", l2_unit(F.col("vec")).alias("vec")) if not prefixes else doubles)
-    n_rows = units.count() if not by else units.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     wanted = k + 1 if skip_first else k
-    sizes = list(prefixes or [0])
-    kind = _id_type(units)
-
-    def best(sims: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :wanted]
-        picked = np.take_along_axis(sims, order, axis=1)
-        ok = np.isfinite(picked).ravel()
-        return pd.DataFrame(
-            {
-                "id": np.repeat(rows, order.shape[1])[ok],
-                "nn": cols[order.ravel()][ok],
-                "cosine": picked.ravel()[ok],
-            }
-        )
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["_p"].iat[0], pdf["_q"].iat[0]
-        left = pdf[pdf["_b"] == p].sort_values("id")
-        right = left if p == q else pdf[pdf["_b"] == q].sort_values("id")
-        empty = pd.DataFrame({"id": pdf["id"].iloc[:0], "nn": pdf["id"].iloc[:0], "cosine": []})
-        found = []
-        if not left.empty and not right.empty:
-            a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-            for m in sizes:
-                u, v = a, b
-                if m:
-                    u, v = a[:, :m], b[:, :m]
-                    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
-                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                sims = np.round(u @ v.T, 9)
-                if p == q:
-                    np.fill_diagonal(sims, -np.inf)
-                    parts = [best(sims, left["id"].to_numpy(), right["id"].to_numpy())]
-                else:
-                    parts = [
-                        best(sims, left["id"].to_numpy(), right["id"].to_numpy()),
-                        best(sims.T, right["id"].to_numpy(), left["id"].to_numpy()),
-                    ]
-                found += [part.assign(m=m) for part in parts]
-        out = pd.concat(found) if found else empty.assign(m=0)
-        for c in by:
-            out[c] = pdf[c].iat[0]
-        return out[[*by, "m", "id", "nn", "cosine"]]
-
-    partial = (
-        _block_pairs(units, by, n_rows, block_rows)
-        .groupBy(*by, "_p", "_q")
-        .applyInPandas(kernel, f"{_by_type(units, by)}m int, id {kind}, nn {kind}, cosine double")
-    )
-    closest = Window.partitionBy(*by, "m", "id").orderBy(F.desc("cosine"), "nn")
-    ranked = partial.withColumn("rank", F.row_number().over(closest)).filter(F.col("rank") <= wanted)
-    if skip_first:
-        ranked = ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
-    return ranked if prefixes else ranked.drop("m")
+    with steps(df.sparkSession) as scope:
+        doubles = df.select(*by, F.col(id_col).alias("id"), as_doubles(F.col(vec_col)).alias("vec"))
+        units, names = _numbered(doubles, by, prefixes)
+        cells = build(durable(units), cell_rows)
+        ranked, _ = _closest(cells, wanted)
+        variant = F.expr(f"p div {VARIANT_CELLS}L").cast("int")
+        ranked = ranked.withColumn("_v", variant).join(F.broadcast(names), "_v")
+        if skip_first:
+            ranked = ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
+        return scope.keep(ranked.select(*by, *(["m"] if prefixes else []), "id", "nn", "cosine", "rank"))
+
+
+def cells_searched(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", cell_rows: int = CELL_ROWS) -> tuple[int, int]:
+    """Ordered pairs of cells that a search for the ``k`` nearest joins, and how many there are."""
+    with steps(df.sparkSession):
+        cells = build(durable(_one_variant(normalized(df, id_col, vec_col))), cell_rows)
+        return _closest(cells, k)[1], len(cells.cell) ** 2
+
+
+def cells_joined(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "vec", cell_rows: int = CELL_ROWS) -> tuple[int, int]:
+    """Pairs of cells that the join at ``threshold`` looks at, and how many there are."""
+    with steps(df.sparkSession):
+        cells = build(durable(_one_variant(normalized(df, id_col, vec_col))), cell_rows)
+        n = len(cells.cell)
+        return cells.pairs(df.sparkSession, _within(math.acos(_checked(threshold)))).count(), n * (n + 1) // 2
 
 
 def hub_counts(first: DataFrame, ids: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -144,11 +144,11 @@ def test_blocked_similarity(spark):
     sims = u @ u.T
     df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "id long, vec array<double>")
     want = {(i, j) for i, j in itertools.combinations(range(len(x)), 2) if sims[i, j] > 0.6}
-    assert {(r["id1"], r["id2"]) for r in S.similar_pairs(df, 0.6, block_rows=13).collect()} == want
-    comp = {r["id"]: r["component"] for r in S.similarity_components(df, 0.6, block_rows=13).collect()}
+    assert {(r["id1"], r["id2"]) for r in S.similar_pairs(df, 0.6, cell_rows=13).collect()} == want
+    comp = {r["id"]: r["component"] for r in S.similarity_components(df, 0.6, cell_rows=13).collect()}
     assert comp == brute_components(want)
     near = {}
-    for r in S.nearest(df, 4, block_rows=13).collect():
+    for r in S.nearest(df, 4, cell_rows=13).collect():
         near.setdefault(r["id"], {})[r["rank"]] = r["nn"]
     for i in range(len(x)):
         order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-round(sims[i, j], 9), j))
