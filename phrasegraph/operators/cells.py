@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
@@ -100,6 +100,25 @@ def unpacked(batch: pa.RecordBatch, row: int, ids: int, matrix: int) -> tuple[np
     return names, np.frombuffer(batch.column(matrix)[row].as_buffer(), np.float64).reshape(len(names), -1)
 
 
+def _cut(placed: DataFrame, number: Column, cell_rows: int) -> DataFrame:
+    """``cell, id, vec, angle``: rows of crowded pivots in rings, rows of crowded rings in chunks by their id."""
+    per_pivot = placed.groupBy("_v", "pivot").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("angle", [i / RINGS for i in range(1, RINGS)]).alias("_edges")
+    )
+    crowded = per_pivot.filter(F.col("_n") > 2 * cell_rows).select(
+        "_v", "pivot", "_edges", F.least(F.lit(RINGS), F.ceil(F.col("_n") / cell_rows)).alias("_rings")
+    )
+    above = F.size(F.filter("_edges", lambda e: e < F.col("angle")))
+    ring = F.coalesce(F.floor(above * F.col("_rings") / RINGS), F.lit(0))
+    ringed = placed.join(F.broadcast(crowded), ["_v", "pivot"], "left").withColumn("_ring", ring.cast("long"))
+    full = ringed.groupBy("_v", "pivot", "_ring").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * cell_rows)
+    full = full.withColumn("_chunks", F.ceil(F.col("_n") / cell_rows)).drop("_n")
+    ringed = ringed.join(F.broadcast(full), ["_v", "pivot", "_ring"], "left")
+    chunk = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_chunks")), F.lit(0))
+    key = (number + F.col("_ring")) * _CHUNK + chunk
+    return ringed.select(key.cast("long").alias("cell"), "id", "vec", "angle")
+
+
 def build(units: DataFrame, cell_rows: int = CELL_ROWS) -> Cells:
     """Cells of ``_v, id, vec``: unit vectors (or zeros) of equal width within each variant number ``_v``."""
     spark = units.sparkSession
@@ -131,20 +150,15 @@ def build(units: DataFrame, cell_rows: int = CELL_ROWS) -> Cells:
 
     schema = units.select("_v", "id", "vec").schema.add("pivot", "long").add("angle", "double")
     placed = durable(units.select("_v", "id", "vec").mapInArrow(place, schema))
-    per_pivot = placed.groupBy("_v", "pivot").agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("angle", [i / RINGS for i in range(1, RINGS)]).alias("_edges")
-    )
-    crowded = per_pivot.filter(F.col("_n") > cell_rows).select(
-        "_v", "pivot", "_edges", F.least(F.lit(RINGS), F.ceil(F.col("_n") / cell_rows)).alias("_rings")
-    )
-    above = F.size(F.filter("_edges", lambda e: e < F.col("angle")))
-    ring = F.coalesce(F.floor(above * F.col("_rings") / RINGS), F.lit(0))
-    ringed = placed.join(F.broadcast(crowded), ["_v", "pivot"], "left").withColumn("_ring", ring.cast("long"))
-    full = ringed.groupBy("_v", "pivot", "_ring").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_chunks")).filter("_chunks > 1")
-    ringed = ringed.join(F.broadcast(full), ["_v", "pivot", "_ring"], "left")
-    chunk = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_chunks")), F.lit(0))
-    key = ((F.col("_v") * (PIVOTS + 1) + F.col("pivot")) * _RING + F.col("_ring")) * _CHUNK + chunk
-    celled = durable(ringed.select(key.cast("long").alias("cell"), "id", "vec", "angle"))
+    number = (F.col("_v").cast("long") * (PIVOTS + 1) + F.col("pivot")) * _RING
+    extent = [F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n")]
+    # One row a pivot; most data need no finer cells.
+    table = placed.groupBy((number * _CHUNK).alias("cell")).agg(*extent).collect()
+    if all(r["n"] <= 2 * cell_rows for r in table):
+        celled = placed.select((number * _CHUNK).alias("cell"), "id", "vec")
+    else:
+        celled = durable(_cut(placed, number, cell_rows))
+        table = celled.groupBy("cell").agg(*extent).collect()
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
@@ -152,8 +166,7 @@ def build(units: DataFrame, cell_rows: int = CELL_ROWS) -> Cells:
         return pd.DataFrame({"cell": [frame["cell"].iat[0]], "ids": [frame["id"].to_numpy()], "m": [matrix.tobytes()]})
 
     packed = durable(celled.groupBy("cell").applyInPandas(pack, f"cell long, ids array<{kind}>, m binary"))
-    described = celled.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))
-    table = sorted(tuple(r) for r in described.collect())
+    table = sorted(tuple(r) for r in table)
     cell, low, high, n = (np.array([r[i] for r in table], t) for i, t in enumerate((np.int64, float, float, np.int64)))
     return Cells(packed, cell, low, high, n, angles, kind)
 
