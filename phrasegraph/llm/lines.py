@@ -41,9 +41,9 @@ def drop_repeated_lines(
     distinct hashes, which are counted with map-side combining; only hashes over the threshold
     go back to their documents, so whole texts are read twice and lines never move.
 
-    Null or empty text is one empty line. A null id ranks below every id. Every row counts as
-    a document of its own; rows that share an id keep or lose a key together. An empty table
-    gives no rows; other columns of ``docs`` are ignored.
+    Null or empty text is one empty line. A null id ranks below every id, and every row with a
+    null id counts as a document of its own. Rows that share an id count as one document and keep
+    or lose a key together. An empty table gives no rows; other columns of ``docs`` are ignored.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), text_of(text_col).alias("_t"))
 
@@ -62,11 +62,25 @@ def drop_repeated_lines(
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["_id", "_h"])
 
     occurrences = durable(rows.mapInArrow(hashes, "_id long, _h binary"))
-    repeated = (
+    # Hashes are counted by row; what rows of a repeated id counted too often is taken off again.
+    shared = rows.filter(F.col("_id") != _NO_ID).groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    surplus = (
+        lookup(occurrences, shared, ["_id"], "_n")
+        .groupBy("_h", "_id")
+        .agg((F.count(F.lit(1)) - 1).alias("_more"))
+        .groupBy("_h")
+        .agg(F.sum("_more").alias("_more"))
+    )
+    counted = (
         occurrences.groupBy("_h")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep"))
         .filter(F.col("_n") >= min_docs)
     )
+    repeated = (
+        counted.join(surplus, "_h", "left")
+        .filter(F.col("_n") - F.coalesce("_more", F.lit(0)) >= min_docs)
+        .drop("_more")
+    )
     drops = (
         lookup(occurrences, repeated, ["_h"], "_n")
         .filter("_id < _keep")

@@ -85,6 +85,22 @@ def test_odd_and_empty_documents(spark, rows):
     assert [(r["n_shingles"], r["kept"]) for r in found] == ([(0, True)] if rows else [])
 
 
+def test_lines_count_ids_not_rows(spark):
+    """A line in three rows of two ids stays; null ids are documents of their own; the largest id keeps the line."""
+    two, three, nulls = "a line that two ids hold", "a line that three ids hold", "a line of rows without an id"
+    rows = [
+        (1, f"{two}\n{three}", "en"),
+        (1, f"{two}\n{three}", "en"),
+        (2, f"{two}\n{three}\n{nulls}", "en"),
+        (3, f"{three}", "en"),
+        (None, nulls, "en"),
+        (None, nulls, "en"),
+    ]
+    got = lines.drop_repeated_lines(documents(spark, rows)).collect()
+    kept = sorted((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in got)
+    assert kept == [(0, "", 1), (0, "", 1), (1, two, 1), (1, two, 1), (2, f"{two}\n{nulls}", 1), (3, three, 0)]
+
+
 def test_exact_digest_paths_agree(spark):
     rows = [(i, random.Random(i % 7).choice(["a  b", "a b", "ab ", "c", None]), "en") for i in range(40)]
     docs = documents(spark, rows)
