@@ -201,6 +201,42 @@ def pack_communities(spark, sf):
     return FO.split(labelled(spark, sf))["blocks"]
 
 
+@query(
+    "f10_exchange_checks",
+    """select count(distinct o_custkey) as n_blocks, count(*) as n_edges, 0::bigint as n_reweighted, true as not_worse,
+             true as one_fold_each from orders""",
+)
+def exchange_checks(spark, sf):
+    """Customers packed by their orders, then exchanged until total prices are spread alike: weights stay, distance falls."""
+    scored = table(spark, sf, "orders").select(
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("kw1"),
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("kw2"),
+        F.col("o_totalprice").cast("double").alias("value"),
+    )
+    ed = durable(FO.canonical_edges(scored))
+    nodes, blocks = FO.assign_blocks(ed)
+    tg = durable(FO.tag_edges(ed, durable(nodes)))
+    stats, cross = durable(FO.block_stats(blocks, tg)), durable(FO.cross_pairs(tg))
+    breaks = FO.score_breaks(ed, "value")
+    histogram = durable(FO.score_histogram(FO.intra_edges(tg), blocks, "value", breaks))
+    packed = durable(FO.pack_blocks(stats, cross, 3))
+    moved = FO.exchange_blocks(packed, stats, histogram, cross, 3, 0.5)
+    before = FO.histogram_distance(FO.fold_bins(packed, histogram, 3))
+    after = FO.histogram_distance(FO.fold_bins(moved, histogram, 3))
+    old, new = FO.fold_weights(packed, stats, cross), FO.fold_weights(moved, stats, cross)
+    changed = old.join(new.withColumnRenamed("weight", "w"), "fold", "full").agg(
+        F.count_if(~F.col("weight").eqNullSafe(F.col("w"))).alias("n_reweighted")
+    )
+    per_block = moved.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_block.agg(F.count(F.lit(1)).alias("n_blocks"), F.coalesce(F.max("n") == 1, F.lit(True)).alias("one_fold_each"))
+    n_edges = ed.agg(F.count(F.lit(1)).alias("n_edges"))
+    return (
+        counted.join(F.broadcast(n_edges))
+        .join(F.broadcast(changed))
+        .withColumn("not_worse", F.lit(after <= before))
+    )
+
+
 @query("f11_keyword_folds", f"with {SQL_GIVEN} select keyword, fold from kf")
 def keyword_folds(spark, sf):
     _, nodes, _, folds = given(spark, sf)

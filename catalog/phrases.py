@@ -250,6 +250,20 @@ def matches(spark, sf):
     return P.phrase_matches(terms, docs)
 
 
+@query(
+    "c12_substring_matches",
+    f"""with {SQL_TOKENS},{sql_pass('tok', '1')},{sql_pass('mt1', '2')},{SQL_TERMS},
+        tx as (select doc_id, array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') as t from documents),
+        ps as (select phrase, doc_id, ((length(t) - length(replace(t, phrase, ''))) / length(phrase))::bigint as n
+               from tm join tx on contains(t, phrase))
+        select phrase, doc_id, n, count(*) over (partition by phrase) as doc_count from ps
+        qualify count(*) over (partition by phrase) >= 5""",
+)
+def substring_matches(spark, sf):
+    terms = P.trimmed_terms(P.collocation_terms(merged_rows(spark, sf)))
+    return P.substring_matches(terms, docs_of(spark, sf))
+
+
 @query("c13_merge_candidates", f"with {SQL_MINED} select kid, phrase, doc_count, source from kw")
 def merged_candidates(spark, sf):
     return mined(spark, sf)[0].select("kid", "phrase", "doc_count", "source")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import durable, steps
 from ..plans.ordering import dense_index, exact_quantiles, running_total, share_of_total
 from ..plans.skew import lookup
 from .checks import require_columns, require_rows
@@ -249,6 +249,241 @@ def _fold_weights(placed: DataFrame, cross: DataFrame, k: int) -> list[float]:
     return [float(found.get(f + 1, 0.0)) for f in range(k)]
 
 
+# -- exchanging blocks between folds --------------------------------------------------------
+
+
+def bin_columns(histogram: DataFrame) -> list[str]:
+    return [c for c in histogram.columns if c.startswith("bin_")]
+
+
+def fold_bins(folds: DataFrame, histogram: DataFrame, k: int) -> list[list[int]]:
+    """Edges per fold and score bin: ``k`` lists, small whatever the data."""
+    bins = bin_columns(histogram)
+    if not bins:
+        return [[] for _ in range(k)]
+    sums = folds.join(histogram, "block_id").groupBy("fold").agg(*[F.sum(c).alias(c) for c in bins])
+    found = {r["fold"]: [int(r[c]) for c in bins] for r in sums.collect()}
+    return [found.get(f + 1, [0] * len(bins)) for f in range(k)]
+
+
+def histogram_distance(bins: Sequence[Sequence[int]]) -> float:
+    """Sum over folds and bins of the distance from an even share, relative to that share."""
+    k = len(bins)
+    even = [sum(row[b] for row in bins) / k for b in range(len(bins[0]))]
+    return sum(abs(row[b] - even[b]) / max(even[b], 1.0) for row in bins for b in range(len(even)))
+
+
+def fold_pairings(k: int) -> list[list[tuple[int, int]]]:
+    """Every two folds once, in rounds of pairs that share no fold."""
+    seats: list[int | None] = [*range(1, k + 1), *([None] if k % 2 else [])]
+    out = []
+    for _ in range(len(seats) - 1):
+        half = len(seats) // 2
+        across = zip(seats[:half], reversed(seats[half:]), strict=True)
+        out.append([(min(a, b), max(a, b)) for a, b in across if a is not None and b is not None])
+        seats = [seats[0], seats[-1], *seats[1:-1]]
+    return out
+
+
+def _pull(placed: DataFrame, cross: DataFrame) -> DataFrame:
+    """``block_id, _pull``: cross edges of a block to the partner fold less those to its own."""
+    links = neighbours(cross)
+    for key, cols in (("block_id", ("_f", "_pair")), ("nb", ("_g", "_pair2"))):
+        uses = links.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        ends = placed.select(
+            F.col("block_id").alias(key), F.col("fold").alias(cols[0]), F.col("_pair").alias(cols[1])
+        ).join(uses, key)
+        links = lookup(links, ends, [key], "_n")
+    signed = F.when(F.col("_f") == F.col("_g"), -F.col("w")).otherwise(F.col("w"))
+    return links.filter("_pair = _pair2").groupBy("block_id").agg(F.sum(signed).cast("double").alias("_pull"))
+
+
+def _offers(placed: DataFrame, urge: Column) -> DataFrame:
+    """Exchanges ``_pair, _one, _two, _level``: blocks of equal weight, matched by rank.
+
+    In each pair of folds and weight the blocks of the first fold, keenest to leave first, meet those of the second.
+    Exchanges are ordered by their promised gain; level n holds the places from 2^n to 2^(n+1) - 1.
+    """
+    keen = placed.withColumn("_urge", F.when(F.col("_second"), -urge).otherwise(urge))
+    by = ["_pair", "weight", "_second"]
+    ranked = durable(dense_index(keen, [*by, F.desc("_urge"), F.col("block_id")], "_at"))
+    firsts = ranked.groupBy(*by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ranked = lookup(ranked, firsts, by, "_n").withColumn("_rank", F.col("_at") - F.col("_first"))
+    one = ranked.filter(~F.col("_second")).select(
+        "_pair", "weight", "_rank", F.col("block_id").alias("_one"), F.col("_urge").alias("_u1")
+    )
+    two = ranked.filter("_second").select(
+        "_pair", "weight", "_rank", F.col("block_id").alias("_two"), F.col("_urge").alias("_u2")
+    )
+    gain = F.col("_u1") + F.col("_u2")
+    matched = one.join(two, ["_pair", "weight", "_rank"]).withColumn("_gain", gain).filter("_gain > 0")
+    ordered = durable(dense_index(matched, [F.col("_pair"), F.desc("_gain"), F.col("_one")], "_at"))
+    starts = ordered.groupBy("_pair").agg(F.min("_at").alias("_first"))  # one row per pair of folds
+    place = F.col("_at") - F.col("_first") + 1
+    return ordered.join(F.broadcast(starts), "_pair").select(
+        "_pair", "_one", "_two", F.floor(F.log2(place.cast("double"))).cast("int").alias("_level")
+    )
+
+
+def _moves(offers: DataFrame) -> DataFrame:
+    return offers.select(F.col("_one").alias("block_id"), "_level").unionByName(
+        offers.select(F.col("_two").alias("block_id"), "_level")
+    )
+
+
+def _try_exchanges(
+    folds: DataFrame, stats: DataFrame, histogram: DataFrame, cross: DataFrame | None,
+    pairing: Sequence[tuple[int, int]], bins: list[list[int]], by_score: bool,
+) -> tuple[DataFrame, list[list[int]], int]:
+    """One round over disjoint pairs of folds: the new folds, their bins and the cross edges won.
+
+    Both measures are known exactly after each level of exchanges, from sums per level. Each
+    pair of folds takes the levels up to the best place at which neither is worse; none if nothing improves.
+    """
+    columns = bin_columns(histogram)
+    k, width = len(bins), len(columns)
+    partner = {f: (i, second) for i, pair in enumerate(pairing) for second, f in enumerate(pair)}
+    index = F.create_map(*[F.lit(x) for f, (i, _) in partner.items() for x in (f, i)])
+    side = F.create_map(*[F.lit(x) for f, (_, s) in partner.items() for x in (f, bool(s))])
+    placed = (
+        folds.join(stats.select("block_id", "weight"), "block_id")
+        .join(histogram, "block_id")
+        .withColumn("_pair", index[F.col("fold")])
+        .withColumn("_second", side[F.col("fold")])
+        .filter(F.col("_pair").isNotNull())
+    )
+    placed = durable(placed)
+    if by_score:
+        even = [sum(row[b] for row in bins) / k for b in range(width)]
+
+        def slope(f: int, b: int) -> float:
+            over = bins[f - 1][b] - even[b]
+            return ((over > 0) - (over < 0)) / max(even[b], 1.0)
+
+        urge = F.lit(0.0)
+        for number, (f, g) in enumerate(pairing):
+            toward = F.lit(0.0)
+            for b, column in enumerate(columns):
+                toward = toward + F.lit(float(slope(f, b) - slope(g, b))) * F.col(column)
+            urge = F.when(F.col("_pair") == number, toward).otherwise(urge)
+        offers = durable(_offers(placed, urge))
+    else:
+        pulled = placed.join(_pull(placed, cross), "block_id", "left").fillna(0.0, ["_pull"])
+        # The second fold's blocks are as keen to leave by their own pull.
+        offers = durable(_offers(pulled, F.when(F.col("_second"), -F.col("_pull")).otherwise(F.col("_pull"))))
+    moves = durable(_moves(offers))
+    state = durable(placed.join(moves, "block_id", "left"))
+
+    shift: dict[int, dict[int, list[int]]] = {}
+    sign = F.when(F.col("_second"), 1).otherwise(-1)
+    sums = state.filter(F.col("_level").isNotNull()).groupBy("_pair", "_level").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c) * sign).alias(c) for c in columns]
+    )
+    for r in sums.collect():
+        shift.setdefault(r["_pair"], {})[r["_level"]] = [int(r[c]) for c in columns]
+    if not shift:
+        return folds, bins, 0
+    links = _link_levels(state, cross) if cross is not None else []
+
+    chosen: dict[int, int] = {}
+    new_bins, won = [list(row) for row in bins], 0
+    for number, (f, g) in enumerate(pairing):
+        start = [list(row) for row in new_bins]
+        best, best_key, best_bins, best_won = None, (histogram_distance(start) if width else 0.0, 0), start, 0
+        base = best_key[0]
+        rows = [list(row) for row in start]
+        for level in sorted(shift.get(number, {})):
+            for b, change in enumerate(shift[number][level]):
+                rows[f - 1][b] += change
+                rows[g - 1][b] -= change
+            distance = histogram_distance(rows) if width else 0.0
+            gained = sum(w * (_together(x, level) - _together(x, -1)) for p, *x, w in links if p == number)
+            if gained >= 0 and distance <= base and (distance, -gained) < best_key:
+                best, best_key = level, (distance, -gained)
+                best_bins, best_won = [list(row) for row in rows], gained
+        if best is not None:
+            chosen[number] = best
+            new_bins, won = best_bins, won + best_won
+    if not chosen:
+        return folds, bins, 0
+    taken = F.create_map(*[F.lit(x) for item in chosen.items() for x in item])
+    other = F.create_map(*[F.lit(x) for f, g in pairing for x in (f, g, g, f)])
+    gone = state.filter(F.col("_level") <= taken[F.col("_pair")]).select(
+        "block_id", other[F.col("fold")].cast("int").alias("_to")
+    )
+    moved = folds.join(gone, "block_id", "left").select("block_id", F.coalesce("_to", "fold").alias("fold"))
+    return moved, new_bins, won
+
+
+def _link_levels(state: DataFrame, cross: DataFrame) -> list[tuple]:
+    """Cross edges inside each pair of folds, summed by the sides and levels of both ends.
+
+    A pair of folds has at most (2 * 63)^2 such sums, so the list is small whatever the data.
+    """
+    never = F.coalesce(F.col("_level"), F.lit(-1))
+    links = cross
+    for end, tag in (("b1", "1"), ("b2", "2")):
+        uses = links.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
+        ends = state.select(
+            F.col("block_id").alias(end), F.col("_pair").alias(f"_p{tag}"),
+            F.col("_second").alias(f"_s{tag}"), never.alias(f"_l{tag}"),
+        ).join(uses, end)
+        links = lookup(links, ends, [end], "_n")
+    sums = links.filter("_p1 = _p2").groupBy("_p1", "_s1", "_l1", "_s2", "_l2").agg(F.sum("w").alias("w"))
+    return [(r["_p1"], r["_s1"], r["_l1"], r["_s2"], r["_l2"], int(r["w"])) for r in sums.collect()]
+
+
+def _together(link: Sequence, level: int) -> bool:
+    """Whether both ends share a fold once the exchanges up to ``level`` are made."""
+    side1, level1, side2, level2 = link
+    return (side1 ^ (0 <= level1 <= level)) == (side2 ^ (0 <= level2 <= level))
+
+
+def exchange_blocks(
+    folds: DataFrame,
+    stats: DataFrame,
+    histogram: DataFrame | None,
+    cross: DataFrame,
+    k: int = K_FOLDS,
+    tolerance: float = 0.02,
+) -> DataFrame:
+    """``block_id, fold`` after exchanging blocks of equal weight between folds.
+
+    ``histogram`` is ``block_id, bin_1 ..`` (None: no score). Exchanges leave the weight of every fold as it is.
+    They are made in bulk, two folds at a time, and only as far as neither the distance of the folds' score
+    histograms from even ones grows nor captured cross edges are lost, and one of both improves. Sweeps
+    over all pairs of folds go on while one lowers the distance by ``tolerance`` of it or wins ``tolerance`` of
+    the cross edges. Without score and cross edges the folds come back unchanged.
+    """
+    blank = histogram if histogram is not None else stats.select("block_id")
+    with_score, with_cross = bool(bin_columns(blank)), not cross.isEmpty()
+    if not with_score and not with_cross:
+        return folds
+    spark = folds.sparkSession
+    with steps(spark) as outer:
+        blank, stats, cross = durable(blank), durable(stats), durable(cross)
+        links = cross if with_cross else None
+        n_cross = int(cross.agg(F.sum("w")).first()[0] or 0)
+        current = durable(folds)
+        bins = fold_bins(current, blank, k)
+        going = True
+        while going:
+            before, won = (histogram_distance(bins) if with_score else 0.0), 0
+            for pairing in fold_pairings(k):
+                for by_score in (True, False):
+                    if not (with_score if by_score else with_cross):
+                        continue
+                    with steps(spark) as scope:
+                        moved, bins, gain = _try_exchanges(current, stats, blank, links, pairing, bins, by_score)
+                        kept = current if moved is current else scope.keep(moved)
+                    if kept is not current:
+                        outer.drop(current)
+                    current, won = kept, won + gain
+            after = histogram_distance(bins) if with_score else 0.0
+            going = before - after > tolerance * before or won > tolerance * n_cross
+        return outer.keep(current)
+
+
 def fold_weights(folds: DataFrame, stats: DataFrame, cross: DataFrame) -> DataFrame:
     """``fold, weight``: block weights plus captured cross edges."""
     own = folds.join(stats.select("block_id", "weight"), "block_id").select("fold", F.col("weight").alias("w"))
@@ -327,15 +562,29 @@ def split(
     min_nodes: int = GIANT_NODES,
     min_edges: int = GIANT_EDGES,
     symmetric: bool = True,
+    score_col: str | None = None,
+    n_score_bins: int = SCORE_BINS,
+    exchange: bool = False,
 ) -> dict[str, DataFrame]:
-    """The whole split: tables ``pairs``, ``blocks``, ``keywords`` and ``summary``."""
+    """The whole split: tables ``pairs``, ``blocks``, ``keywords`` and ``summary``.
+
+    With ``score_col`` the folds' score histograms are brought close to one another by exchanging blocks;
+    ``exchange`` does so for captured cross edges alone.
+    """
     edges = require_rows(durable(canonical_edges(pairs)), "labelled pairs")
     nodes, blocks = assign_blocks(edges, min_nodes, min_edges)
     nodes = durable(nodes)
     tagged = durable(tag_edges(edges, nodes))
     stats = durable(block_stats(blocks, tagged, balance_by))
     cross = durable(cross_pairs(tagged))
+    histogram = None
+    if score_col is not None:
+        breaks = score_breaks(edges, score_col, n_score_bins)
+        if breaks:
+            histogram = score_histogram(intra_edges(tagged), blocks, score_col, breaks)
     folds = durable(pack_blocks(stats, cross, k))
+    if exchange or histogram is not None:
+        folds = exchange_blocks(folds, stats, histogram, cross, k)
     keywords = durable(keyword_folds(nodes, folds))
     kept = durable(kept_pairs(with_folds(edges, keywords)))
     return {

@@ -293,6 +293,103 @@ def phrase_matches(
     return frequent_postings(per_doc, min_doc_count)
 
 
+def _word_ends(vocab: DataFrame, wanted: DataFrame, part: str, name: str) -> DataFrame:
+    """``_t, _c`` and the wanted strings that word ``_t`` begins (``left``) or ends (``right``) with.
+
+    A word yields one row per length that occurs among the wanted strings, so the work follows the vocabulary.
+    """
+    lengths = sorted(r["n"] for r in wanted.select(F.length(name).alias("n")).distinct().collect())
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_t")) if lengths else F.expr("array(0)")
+    cut = vocab.select("_t", "_c", F.explode(sizes).alias("_n")).withColumn(name, F.expr(f"{part}(_t, _n)"))
+    return cut.drop("_n").join(wanted, name)
+
+
+def substring_matches(
+    phrases: DataFrame,
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_doc_count: int = MIN_DOC_COUNT,
+) -> DataFrame:
+    """``phrase, id, n, doc_count``: occurrences inside a document's words joined by blanks, without overlap.
+
+    The first word of a phrase may end a longer word and the last one begin one: ``data set`` is found in
+    ``metadata settings``. The distinct words are joined with the phrases' first and last words by their ends; only
+    positions whose word ends with a first word are looked at, and only runs as long as phrases that start so are
+    built. Occurrences count from left to right as a text search does. Phrases of one word and nulls are left out;
+    rows that share an id count together.
+    """
+    words = F.split("phrase", " ")
+    found = (
+        phrases.select("phrase").distinct().filter(F.size(words) > 1)
+        .select(
+            "phrase",
+            F.size(words).alias("_m"),
+            F.element_at(words, 1).alias("_f"),
+            F.element_at(words, -1).alias("_l"),
+            F.array_join(F.slice(words, F.lit(2), F.size(words) - 2), " ").alias("_mid"),
+        )
+    )
+    found = durable(found)
+    rows = durable(word_rows(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    vocab = durable(
+        rows.select(F.explode("words").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_c"))
+    )
+    tails = durable(
+        _word_ends(vocab, found.groupBy("_f").agg(F.collect_set("_m").alias("_sizes")), "right", "_f")
+    )
+    heads = durable(_word_ends(vocab, found.select("_l").distinct(), "left", "_l"))
+
+    sizes = tails.groupBy("_t").agg(
+        F.array_distinct(F.flatten(F.collect_list("_sizes"))).alias("_sizes"), F.max("_c").alias("_c")
+    )
+    at = rows.select("_row", F.size("words").alias("_len"), F.posexplode("words").alias("_pos", "_t"))
+    starts = (
+        lookup(at, sizes, ["_t"], "_c")
+        .select("_row", "_pos", "_len", F.explode("_sizes").alias("_m"))
+        .filter("_pos + _m <= _len")
+        .groupBy("_row")
+        .agg(F.collect_list(F.struct("_pos", "_m")).alias("_starts"))
+    )
+
+    def run(start: Column) -> Column:
+        pos, m = start["_pos"], start["_m"]
+        return F.struct(
+            pos.alias("_pos"),
+            m.alias("_m"),
+            F.get("words", pos).alias("_t"),
+            F.get("words", pos + m - 1).alias("_t2"),
+            F.array_join(F.slice("words", pos + 2, m - 2), " ").alias("_mid"),
+        )
+
+    runs = rows.join(starts, "_row").select("_row", id_col, F.explode(F.transform("_starts", run)).alias("_r"))
+    runs = runs.select("_row", id_col, "_r.*")
+    runs = lookup(runs, heads.select(F.col("_t").alias("_t2"), "_l", "_c"), ["_t2"], "_c")
+    ended = lookup(runs, tails.select("_t", "_f", "_c"), ["_t"], "_c")
+    hits = ended.join(found, ["_f", "_mid", "_l", "_m"]).select(
+        "phrase",
+        "_row",
+        id_col,
+        "_m",
+        "_pos",
+        # One occurrence may end and the next begin in the same word only if that word holds both parts.
+        (F.length("_t") < F.length("_f") + F.length("_l")).alias("_tight"),
+    )
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
+
+    def step(done: Column, x: Column) -> Column:
+        free = (x["_pos"] > done["end"]) | ((x["_pos"] == done["end"]) & ~x["_tight"])
+        return F.when(
+            free, F.struct((done["n"] + 1).alias("n"), (x["_pos"] + x["_m"] - 1).alias("end"))
+        ).otherwise(done)
+
+    places = F.array_sort(F.collect_list(F.struct("_pos", "_tight", "_m")))
+    per_row = hits.groupBy("phrase", "_row", id_col).agg(places.alias("_at"))
+    counted = per_row.select("phrase", id_col, F.aggregate("_at", none, step, lambda done: done["n"]).alias("n"))
+    per_doc = durable(counted.groupBy("phrase", id_col).agg(F.sum("n").alias("n")))
+    return frequent_postings(per_doc, min_doc_count)
+
+
 def noun_side(postings: DataFrame, id_col: str = "doc_id", min_doc_count: int = MIN_DOC_COUNT) -> DataFrame:
     """Noun postings with hyphens as blanks, recounted so that each phrase is unique."""
     plain = (

@@ -64,6 +64,53 @@ def test_communities_of_two_cliques(spark):
     assert nodes.count() == 36
 
 
+def test_fold_pairings_meet_once():
+    for k in (2, 3, 5, 6):
+        rounds = FO.fold_pairings(k)
+        met = [p for r in rounds for p in r]
+        assert sorted(met) == [(a, b) for a in range(1, k + 1) for b in range(a + 1, k + 1)]
+        assert all(len({f for p in r for f in p}) == 2 * len(r) for r in rounds)
+
+
+def test_exchange_keeps_weights_and_worsens_nothing(spark):
+    rng = random.Random(11)
+    n, k = 300, 3
+    weight = {b: rng.choice([1, 1, 1, 2, 3]) for b in range(n)}
+    high = {b: rng.randrange(weight[b] + 1) for b in range(n)}
+    # Blocks of one fold hold the high scores, and links run mostly inside groups that the folds cut.
+    fold = {b: 1 + (b * k // n if rng.random() < 0.5 else b % k) for b in range(n)}
+    high = {b: weight[b] if fold[b] == 1 else high[b] for b in range(n)}
+    w = {}
+    for _ in range(900):
+        a, b = rng.randrange(n), rng.randrange(n)
+        b = b if rng.random() < 0.2 else (a // 10) * 10 + rng.randrange(10)
+        if a != b:
+            w[min(a, b), max(a, b)] = w.get((min(a, b), max(a, b)), 0) + 1
+    folds = spark.createDataFrame(sorted(fold.items()), "block_id long, fold int")
+    stats = spark.createDataFrame(sorted(weight.items()), "block_id long, weight long")
+    bins = spark.createDataFrame([(b, weight[b] - high[b], high[b]) for b in range(n)], "block_id long, bin_1 long, bin_2 long")
+    cross = spark.createDataFrame([(a, b, x) for (a, b), x in w.items()], "b1 long, b2 long, w long")
+
+    def measures(of):
+        table = [[0, 0] for _ in range(k)]
+        load = [0] * k
+        for b, f in of.items():
+            table[f - 1][0] += weight[b] - high[b]
+            table[f - 1][1] += high[b]
+            load[f - 1] += weight[b]
+        return load, FO.histogram_distance(table), sum(x for (a, b), x in w.items() if of[a] == of[b])
+
+    def run(histogram, links):
+        return {r["block_id"]: r["fold"] for r in FO.exchange_blocks(folds, stats, histogram, links, k, 0.5).collect()}
+
+    load, distance, captured = measures(fold)
+    after_load, after_distance, after_captured = measures(run(bins, cross))
+    assert after_load == load
+    assert after_distance < 0.5 * distance
+    assert after_captured > captured
+    assert run(None, cross.filter("w < 0")) == fold
+
+
 def test_bad_parameters(spark):
     df = spark.createDataFrame([("a", "b", "x")], "kw1 string, kw2 string, score string")
     with pytest.raises(ValueError):

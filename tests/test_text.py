@@ -68,3 +68,29 @@ def test_clean_text_keeps_order_of_steps(spark):
 
 def test_phrase_words(spark):
     assert one(spark, lambda c: P.phrase_words(c), "decision-making process") == 3
+
+
+def test_substring_matches_against_text_search(spark):
+    import random
+
+    from phrasegraph.operators.phrases import substring_matches
+
+    rng = random.Random(5)
+    pool = ["a", "ab", "ba", "aba", "b", "cab", "abc", "bab"]
+    docs = [(i if i else None, " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 30)))) for i in range(40)]
+    docs += [(39, "ab ab ab"), (40, None), (41, "")]
+    phrases = ["a b", "a a", "ab ab", "b a b", "a ba a", "ba b", "b", "zz a", "abc a ba cab"]
+    want = {}
+    for i, text in docs:
+        for p in phrases:
+            n = (text or "").count(p)
+            if " " in p and n:
+                want[p, i] = want.get((p, i), 0) + n
+    got = substring_matches(
+        spark.createDataFrame([(p, 1) for p in [*phrases, phrases[0]]], "phrase string, n long"),
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        min_doc_count=1,
+    )
+    assert {(r["phrase"], r["doc_id"]): r["n"] for r in got.collect()} == want
+    none = spark.createDataFrame([], "phrase string, n long")
+    assert substring_matches(none, spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
