@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from phrasegraph.operators import similarity as S
 from phrasegraph.plans.durable import scratch_path as scratch
 from phrasegraph.sources import tables as IO
+from phrasegraph.sources import versions
 
 from .base import query, table
 from .graphs import SQL_NOUN_TABLE, noun_table
@@ -46,6 +47,21 @@ def phrase_rows(spark, sf):
     return IO.phrase_rows(*noun_table(spark, sf))
 
 
+@query(
+    "a03_current_version",
+    f"with {SQL_NOUN_TABLE} select kid, phrase, kid::bigint % 3 = 0 as omit, false as method, false as thematic from nkw",
+)
+def current_version(spark, sf):
+    """The table is published, published again with flags set, and a third time by a writer that never announces it."""
+    root = scratch(spark, "phrases")
+    phrases, postings = noun_table(spark, sf)
+    IO.publish_phrases(phrases, postings, root)
+    flagged = phrases.withColumn("omit", F.col("kid").cast("long") % 3 == 0)
+    IO.publish_phrases(flagged, postings, root)
+    IO.write_phrases(phrases.withColumn("thematic", F.lit(True)), postings, versions.fresh_folder(root))
+    return IO.current_phrases(spark, root)[0]
+
+
 @query(
     "a04_read_vectors",
     "select vec_id::varchar as vec_id, len(embedding)::bigint as d, round(embedding[1]::double, 6) as first, round(embedding[64]::double, 6) as last from embeddings",

@@ -46,15 +46,28 @@ def used_pairs(spark, sf):
     return spark.read.schema("rater string, pair string").parquet(out)
 
 
-@query("l03_flags", FLAG_SQL)
-def flags(spark, sf):
-    versions, place = scratch_path(spark, "versions"), scratch_path(spark, "place")
-    L.stream_flags(submitted(spark, sf), "row_no", versions, place).awaitTermination()
-    phrases = table(spark, sf, "part").select(
+def flag_phrases(spark, sf):
+    return table(spark, sf, "part").select(
         F.col("p_partkey").alias("kid"),
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("phrase"),
         F.lit(False).alias("omit"),
         F.lit(None).cast("boolean").alias("method"),
         F.lit(True).alias("thematic"),
     )
-    return L.current_flags(spark, phrases, versions)
+
+
+@query("l03_flags", FLAG_SQL)
+def flags(spark, sf):
+    versions, place = scratch_path(spark, "versions"), scratch_path(spark, "place")
+    L.stream_flags(submitted(spark, sf), "row_no", versions, place).awaitTermination()
+    return L.current_flags(spark, flag_phrases(spark, sf), versions)
+
+
+@query("l03_compacted_flags", FLAG_SQL)
+def compacted_flags(spark, sf):
+    """Two streams of the same sheet, the first compacted before the second arrives, then both compacted."""
+    versions = scratch_path(spark, "versions")
+    for _ in range(2):
+        L.stream_flags(submitted(spark, sf), "row_no", versions, scratch_path(spark, "place")).awaitTermination()
+        L.compact_flags(spark, versions)
+    return L.current_flags(spark, flag_phrases(spark, sf), versions)

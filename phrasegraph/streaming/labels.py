@@ -6,6 +6,8 @@ a restart neither loses nor repeats a submission.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +16,10 @@ from pyspark.sql.types import StructType
 from ..functions.text import norm_rater
 from ..operators.sampling import FLAGS, pair_key
 from ..plans.skew import SMALL_ROWS
+from ..sources.versions import current, entries, publish, write_once
+
+#: Start of the manifest names of flag batches.
+_BATCH = "batch-"
 
 
 def submissions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -88,11 +94,13 @@ def stream_used_pairs(
 
 
 def stream_flags(sheet: DataFrame, order_col: str, versions: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's last edit per phrase and flag under ``versions/batch=<id>``.
+    """Add each batch's last edit per phrase and flag to the table ``versions``.
 
-    A batch id always overwrites its own folder, so a repeated batch changes nothing.
-    ``current_flags`` folds all batches into the phrase table.
+    A batch is named by its stream's checkpoint and its id and becomes visible when its manifest entry is
+    written, so readers see whole batches and one that runs again changes nothing. ``current_flags`` folds
+    all batches into the phrase table, ``compact_flags`` folds them into one.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def save(batch: DataFrame, batch_id: int) -> None:
         sides = [
@@ -112,7 +120,8 @@ def stream_flags(sheet: DataFrame, order_col: str, versions: str, checkpoint: st
                 F.max(F.when(F.col(f).isNotNull(), F.col("at"))).alias(f"{f}_at"),
             )
         ]
-        rows.groupBy("phrase").agg(*last).write.mode("overwrite").parquet(f"{versions}/batch={batch_id}")
+        edits = rows.groupBy("phrase").agg(*last)
+        write_once(edits, versions, f"{_BATCH}{stream}-{batch_id:012d}", stream=stream, batch=batch_id)
 
     return (
         sheet.writeStream.foreachBatch(save)
@@ -122,9 +131,36 @@ def stream_flags(sheet: DataFrame, order_col: str, versions: str, checkpoint: st
     )
 
 
+def _flag_edits(spark: SparkSession, versions: str) -> tuple[DataFrame | None, dict[str, int]]:
+    """The compacted edits and all batches after them, and the last batch of each stream."""
+    base = current(spark, versions)
+    upto = dict(base["upto"]) if base else {}
+    folders = [base["folder"]] if base else []
+    last = dict(upto)
+    for info in entries(spark, versions, _BATCH).values():
+        if info["batch"] > upto.get(info["stream"], -1):
+            folders.append(info["folder"])
+            last[info["stream"]] = max(info["batch"], last.get(info["stream"], -1))
+    return (spark.read.parquet(*folders) if folders else None), last
+
+
+def compact_flags(spark: SparkSession, versions: str) -> int | None:
+    """Fold all batches so far into one table per phrase, the new current version; None without batches.
+
+    The version says up to which batch of each stream it goes, so batches that arrive meanwhile are added to it.
+    """
+    edits, last = _flag_edits(spark, versions)
+    if edits is None:
+        return None
+    folded = [c for f in FLAGS for c in (F.max_by(f, f"{f}_at").alias(f), F.max(f"{f}_at").alias(f"{f}_at"))]
+    return publish(edits.groupBy("phrase").agg(*folded), versions, upto=last)
+
+
 def current_flags(spark: SparkSession, phrases: DataFrame, versions: str) -> DataFrame:
-    """The phrase table after all saved edits; per flag the latest edit wins."""
-    edits = spark.read.parquet(versions)
+    """The phrase table after all saved edits; per flag the latest edit wins. Without edits it is unchanged."""
+    edits, _ = _flag_edits(spark, versions)
+    if edits is None:
+        return phrases
     latest = edits.groupBy("phrase").agg(*[F.max_by(f, f"{f}_at").alias(f"_{f}") for f in FLAGS])
     unique = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows = 1")
     joined = phrases.join(latest.join(unique.select("phrase"), "phrase", "left_semi"), "phrase", "left")
