@@ -45,6 +45,25 @@ def cooccurrence_parts(spark, sf):
     return G.cooccurrence(part_incidence(spark, sf))
 
 
+@query(
+    "e03_frequent_cooccurrence",
+    f"""with {SQL_NOUN_TABLE} select a.kid as id1, b.kid as id2, count(*) as shared
+        from npost a join npost b on a.doc_id = b.doc_id and a.kid < b.kid group by 1, 2 having count(*) >= 3""",
+)
+def frequent_phrases(spark, sf):
+    return G.frequent_cooccurrence(noun_table(spark, sf)[1], 3)
+
+
+@query(
+    "e03_frequent_parts",
+    """with i as (select distinct l_partkey as kid, l_orderkey as doc_id from lineitem)
+       select a.kid as id1, b.kid as id2, count(*) as shared from i a join i b on a.doc_id = b.doc_id and a.kid < b.kid
+       group by 1, 2 having count(*) >= 2""",
+)
+def frequent_parts(spark, sf):
+    return G.frequent_cooccurrence(part_incidence(spark, sf), 2)
+
+
 def part_incidence(spark, sf):
     """Part by order incidence: parts are the phrases, orders the documents."""
     return (

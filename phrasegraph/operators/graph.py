@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable, steps
+from ..plans.ordering import dense_index
 from ..plans.skew import grouped_pairs, lookup
 
 
@@ -117,6 +118,40 @@ def cooccurrence(
     return pairs.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def frequent_cooccurrence(
+    incidence: DataFrame, min_shared: int, id_col: str = "kid", doc_col: str = "doc_id", block_rows: int = 512
+) -> DataFrame:
+    """``id1 < id2, shared`` of the pairs that share at least ``min_shared`` documents.
+
+    Phrases with fewer documents go first. A phrase's documents are put in one order for all phrases, those
+    with few phrases first, and its last ``min_shared - 1`` are left out of the search: the first document that two
+    phrases share is left out of neither if they share enough. So a rare phrase is paired in one document or a few,
+    and a document with very many phrases in none or for few of them. Each pair found is then counted exactly.
+    """
+    if min_shared < 1:
+        raise ValueError("min_shared must be at least 1")
+    rows = durable(incidence.select(doc_col, id_col).filter(F.col(doc_col).isNotNull() & F.col(id_col).isNotNull()).distinct())
+    sizes = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") >= min_shared)
+    kept = durable(lookup(rows, sizes.withColumn("_n", F.col("_docs")), [id_col], "_n"))
+    width = kept.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_width")).filter("_width > 1")
+    placed = dense_index(
+        lookup(kept, width.withColumn("_n", F.col("_width")), [doc_col], "_n", how="left").fillna(1, ["_width"]),
+        [id_col, "_width", doc_col],
+        "_at",
+    )
+    placed = durable(placed)
+    first = placed.groupBy(id_col).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    searched = lookup(placed, first, [id_col], "_n").filter(
+        F.col("_at") - F.col("_first") <= F.col("_docs") - min_shared
+    )
+    found = durable(
+        grouped_pairs(searched.select(doc_col, id_col), doc_col, id_col, [], block_rows=block_rows)
+        .select("id1", "id2")
+        .distinct()
+    )
+    return shared_documents(found, kept.select(doc_col, id_col), id_col, doc_col).filter(F.col("shared") >= min_shared)
+
+
 def shared_documents(
     pairs: DataFrame, incidence: DataFrame, id_col: str = "kid", doc_col: str = "doc_id"
 ) -> DataFrame:

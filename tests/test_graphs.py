@@ -167,3 +167,28 @@ def test_zero_vector_stays_zero(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0, 0.0]), (2, [0.0, 0.0, 0.0])], "id long, vec array<double>")
     got = {r["id"]: r["vec"] for r in S.normalized(df).collect()}
     assert got[1] == pytest.approx([0.6, 0.8, 0.0], abs=1e-12) and got[2] == [0.0, 0.0, 0.0]
+
+
+def test_frequent_cooccurrence_against_all_pairs(spark):
+    import random
+    from itertools import combinations
+
+    from phrasegraph.operators.graph import frequent_cooccurrence
+
+    rng = random.Random(8)
+    # One phrase is in nearly every document, one document holds every phrase, some rows are repeated or null.
+    rows = [(f"k{min(int(rng.paretovariate(0.6)), 60)}", rng.randrange(80)) for _ in range(700)]
+    rows += [("hot", d) for d in range(75)] + [(f"k{i}", 999) for i in range(1, 61)] + [("hot", 3), (None, 3), ("k1", None)]
+    docs = {}
+    for k, d in rows:
+        if k is not None and d is not None:
+            docs.setdefault(d, set()).add(k)
+    shared = {}
+    for held in docs.values():
+        for pair in combinations(sorted(held), 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    table = spark.createDataFrame(rows, "kid string, doc_id long")
+    for least in (1, 4):
+        got = {(r["id1"], r["id2"]): r["shared"] for r in frequent_cooccurrence(table, least, block_rows=16).collect()}
+        assert got == {p: n for p, n in shared.items() if n >= least}
+    assert frequent_cooccurrence(table.filter("doc_id < 0"), 2).count() == 0
