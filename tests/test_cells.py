@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from phrasegraph.operators import near_duplicates as ND
 from phrasegraph.operators import projection as PR
 from phrasegraph.operators import similarity as S
-from phrasegraph.operators.cells import build
+from phrasegraph.operators.cells import build, joined
 from phrasegraph.operators.communities import communities, community_checks, modularity
 from phrasegraph.operators.graph import connected_components
 from phrasegraph.plans.durable import durable
@@ -76,6 +76,39 @@ def test_bounds_hold(spark):
             assert angle[np.ix_(a, b)].min() >= low - 1e-9
 
 
+def test_many_pairs_of_cells_shuffle_no_matrix(spark):
+    x = np.random.default_rng(8).normal(size=(300, 6))
+    cells = build(durable(S.normalized(frame(spark, x)).select(F.lit(0).alias("_v"), "id", "vec")), 11)
+    pairs = cells.pairs(spark, lambda i, others, least: others[others >= i])
+    met = joined(cells, pairs)
+    assert "CartesianProduct" in met._jdf.queryExecution().executedPlan().toString()
+    n = len(cells.cell)
+    assert n > 9 and met.select("p", "q").distinct().count() == met.count() == n * (n + 1) // 2
+
+
+def test_nearest_returns_the_best_of_a_task_with_text_ids(spark):
+    """Ties between cells go to the smaller id; ids are strings."""
+    x = np.random.default_rng(9).integers(-1, 2, size=(260, 4)).astype(float)
+    names = [f"v{(i * 97) % 260}" for i in range(260)]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in zip(names, x)], "id string, vec array<double>")
+    sims = np.round(cosines(x), 9)
+    got = {}
+    for r in S.nearest(df, 7, cell_rows=5).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["nn"]
+    for i, k in enumerate(names):
+        order = sorted((j for j in range(260) if j != i), key=lambda j: (-sims[i, j], names[j]))[:7]
+        assert [got[k][r] for r in range(1, 8)] == [names[j] for j in order]
+
+
+def test_triangle_query_has_no_size_limit(spark, monkeypatch, tmp_path):
+    import __spark_entry__
+
+    monkeypatch.setattr(S, "TRIANGLE_IDS", 2)
+    rows = [(i, [1.0, float(i)], 0) for i in range(4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert __spark_entry__.queries()["d04_pairwise_cosine"](spark, str(tmp_path)).count() == 10
+
+
 def test_near_copies_of_one_text_are_not_paired(spark):
     """Twenty thousand near copies: leaders tie them, and no blocks of rows are compared afterwards."""
     n, size = 20_000, 100
