@@ -120,6 +120,19 @@ def test_pairs_merge_left_to_right(spark):
     assert got == {1: ["a_a", "a_b", "a_a"], 2: [], 3: ["q"]}
 
 
+def test_merging_moves_no_row_per_word(spark, monkeypatch):
+    """Blocks of a few words give the rows of one block, and a repeated pair has one row per block."""
+    words = [["a", "b", "a", "b", "b"], ["x"], [], None, ["b", "a", "a", "b"]] * 5
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, words array<string>")
+    found = spark.createDataFrame([("a", "b", 5)], "a string, b string, n_ab long")
+    want = {i: [x for x in {5: ["a_b", "a_b", "b"], 1: ["x"], 4: ["b", "a", "a_b"]}.get(len(w or []), [])] for i, w in enumerate(words)}
+    assert {r["doc_id"]: r["words"] for r in P.merge_pairs(rows, found).collect()} == want
+    counts = P.grams(P.in_blocks(rows)).filter("a = 'a' and b = 'b'").collect()
+    assert len(counts) == 1 and counts[0]["n"] == 15
+    monkeypatch.setattr(P, "BLOCK_WORDS", 7)
+    assert {r["doc_id"]: r["words"] for r in P.merge_pairs(rows, found).collect()} == want
+
+
 def test_phrase_lists_are_cut_into_parts(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(IO, "CHUNK_DOCS", 10)
     postings = spark.createDataFrame([("1", d, d % 3 + 1) for d in range(95)] + [("2", 5, 1)], "kid string, doc_id long, n long")
