@@ -229,7 +229,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(
     train: DataFrame,
-    calibration_rows: int = 5_000,
     reject_share: float = 0.005,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -241,7 +240,7 @@ def fit(
     continuation counts are those of the corpus. The model is built on the driver and grows with the
     distinct 4-grams. The sharpness of the
     confidence and, per language, the entropy that the worst ``reject_share`` of its texts exceed
-    are fitted on about ``calibration_rows`` rows, drawn by a hash of the id.
+    are fitted on all rows.
     """
     rows = train.filter(F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), text_of(text_col).alias("_t")
@@ -256,24 +255,24 @@ def fit(
         order = np.argsort(codes)
         counts[lang] = (codes[order], part["n"].to_numpy()[order])
     model = build(counts)
-    share = max(1, rows.count() // calibration_rows)
-    sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(share)) == 0)
-    seen = [r for r in _entropy_rows(sample, model).collect() if r["_n"]]
-    if seen:
-        entropies = np.array([r["_e"] for r in seen])
-        truth = np.array([model.langs.index(r["_lang"]) for r in seen])
-        losses = []
-        for sharpness in 2.0 ** np.arange(0, 8, 0.5):
-            z = -(entropies - entropies.min(axis=1, keepdims=True)) * sharpness
-            p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-            losses.append((-np.log(p[np.arange(len(p)), truth] + 1e-9).mean(), sharpness))
-        model.sharpness = float(min(losses)[1])
-        right = entropies.argmin(axis=1) == truth
-        model.limits = {
-            lang: float(np.quantile(entropies[right & (truth == k), k], 1 - reject_share))
-            for k, lang in enumerate(model.langs)
-            if (right & (truth == k)).any()
-        }
+    # Every row counts; one row of sums and one of limits reach the driver.
+    seen = durable(_entropy_rows(rows, model).filter("_n > 0").select("_lang", "_e"))
+    least = F.array_min("_e")
+    place = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("_lang"))
+    steps = [float(x) for x in 2.0 ** np.arange(0, 8, 0.5)]
+
+    def loss(sharpness: float) -> Column:
+        odds = F.transform("_e", lambda e: F.exp((F.col("_least") - e) * F.lit(sharpness)))
+        total = F.aggregate(odds, F.lit(0.0), lambda x, y: x + y)
+        return F.avg(-F.log(F.exp((F.col("_least") - F.col("_own")) * F.lit(sharpness)) / total + F.lit(1e-9)))
+
+    placed = seen.select("_lang", "_e", least.alias("_least"), F.element_at("_e", place.cast("int")).alias("_own"))
+    losses = placed.agg(*[loss(x).alias(f"_{i}") for i, x in enumerate(steps)]).first()
+    if losses[0] is not None:
+        model.sharpness = min(zip(losses, steps))[1]
+        right = seen.filter(F.array_position("_e", least) == place)
+        edges = right.groupBy("_lang").agg(F.percentile(F.element_at("_e", place.cast("int")), F.lit(1 - reject_share)).alias("_q"))
+        model.limits = {r["_lang"]: r["_q"] for r in edges.collect()}
     return model
 
 

@@ -383,3 +383,20 @@ def test_pipeline(spark):
     final = entry.queries()["pipeline"](spark, SF).collect()
     assert {r["doc_id"] for r in final} == ids
     assert sorted(r["position"] for r in final) == list(range(len(ids)))
+
+
+def test_language_limits_come_from_all_rows(spark):
+    """More rows than any sample of old: sharpness and limits are those of the whole training table."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(rng.choice(list("abcde" if i % 2 else "defgh"), 12)), "x" if i % 2 else "y") for i in range(10_400)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    e = np.array([model.entropies(t)[0] for _, t, _ in rows])
+    truth = np.array([model.langs.index(k) for *_, k in rows])
+    right = e.argmin(axis=1) == truth
+    for k, lang in enumerate(model.langs):
+        assert model.limits[lang] == pytest.approx(np.quantile(e[right & (truth == k), k], 0.995), abs=1e-12)
+    losses = []
+    for s in 2.0 ** np.arange(0, 8, 0.5):
+        odds = np.exp((e.min(axis=1, keepdims=True) - e) * s)
+        losses.append((-np.log((odds / odds.sum(axis=1, keepdims=True))[np.arange(len(e)), truth] + 1e-9).mean(), s))
+    assert model.sharpness == min(losses)[1]
