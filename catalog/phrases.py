@@ -149,16 +149,8 @@ def candidates(spark, sf):
 )
 def repaired_spans(spark, sf):
     docs = docs_of(spark, sf).withColumn("text", F.replace("text", F.lit(" the "), F.lit(" the-")))
-    toks = durable(P.marked_tokens(docs))
-    dash = toks.filter("token = '-'").select("doc_id", "pos")
-    word = toks.filter("token <> '-'")
-    opening = dash.join(word.withColumn("pos", F.col("pos") - 1), ["doc_id", "pos"]).select(
-        "doc_id", F.col("pos").alias("start"), F.lit(2).alias("length"), F.concat(F.lit("-"), "token").alias("phrase")
-    )
-    closing = dash.join(word.withColumn("pos", F.col("pos") + 1), ["doc_id", "pos"]).select(
-        "doc_id", (F.col("pos") - 1).alias("start"), F.lit(2).alias("length"), F.concat("token", F.lit("-")).alias("phrase")
-    )
-    out = P.repair_hyphen_spans(opening.unionByName(closing), toks)
+    toks = P.marked_tokens(docs, by_document=True)
+    out = P.repair_hyphen_spans(P.hyphen_spans(toks), toks)
     return out.withColumn("start", F.col("start").cast("long")).withColumn("length", F.col("length").cast("long"))
 
 

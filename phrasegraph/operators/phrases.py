@@ -7,7 +7,7 @@ list, because a common phrase occurs in a large share of all documents.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,25 +85,75 @@ def candidate_phrases(
     return sized.select(id_col, F.inline(spans))
 
 
-def marked_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, pos, token`` with punctuation marks as tokens of their own; case kept."""
+def marked_tokens(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_document: bool = False
+) -> DataFrame:
+    """``id, pos, token`` with punctuation marks as tokens of their own; case kept.
+
+    With ``by_document`` one row ``id, copies`` for each id that is not null: the token lists of its texts, so a token is not a
+    row and moves once.
+    """
     found = F.regexp_extract_all(F.col(text_col), F.lit(_MARK_TOKEN), F.lit(0))
-    return (
-        spread(docs.select(id_col, text_col), id_col)
-        .select(F.col(id_col), F.posexplode(found).alias("pos", "token"))
-        .withColumn("pos", F.col("pos") + 1)
+    texts = spread(docs.select(id_col, text_col), id_col)
+    if by_document:
+        lists = texts.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col), found.alias("_t"))
+        return lists.groupBy(id_col).agg(F.collect_list("_t").alias("copies"))
+    return texts.select(F.col(id_col), F.posexplode(found).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+
+
+def hyphen_spans(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id, start, length, phrase``: every hyphen with the word after it and with the word before it.
+
+    ``tokens`` are ``marked_tokens`` by document. Texts that share an id are taken as one set of tokens by place.
+    """
+    places = F.flatten(
+        F.transform("copies", lambda c: F.filter(F.transform(c, lambda t, i: F.when(t == "-", i)), lambda i: i.isNotNull()))
     )
 
+    def spans(step: int, start: int, phrase: Callable[[Column], Column]) -> Column:
+        def at(i: Column) -> Column:
+            near = F.filter(F.transform("copies", lambda c: F.get(c, i + step)), lambda t: t.isNotNull() & (t != "-"))
+            return F.transform(
+                near, lambda t: F.struct((i + start).alias("start"), F.lit(2).alias("length"), phrase(t).alias("phrase"))
+            )
+
+        return F.flatten(F.transform(places, at))
+
+    opening = spans(1, 1, lambda t: F.concat(F.lit("-"), t))
+    closing = spans(-1, 0, lambda t: F.concat(t, F.lit("-")))
+    return tokens.select(id_col, F.inline(F.concat(opening, closing)))
+
 
 def repair_hyphen_spans(spans: DataFrame, tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A span that starts or ends in ``-`` gains the token before or after it."""
-    before = tokens.select(id_col, (F.col("pos") + 1).alias("start"), F.col("token").alias("_before"))
-    after = tokens.select(id_col, F.col("pos").alias("_next"), F.col("token").alias("_after"))
-    opened = spans.withColumn("_next", F.col("start") + F.col("length"))
-    joined = opened.join(before, [id_col, "start"], "left").join(after, [id_col, "_next"], "left")
-    head = F.when(F.col("phrase").startswith("-"), F.coalesce("_before", F.lit(""))).otherwise("")
-    tail = F.when(F.col("phrase").endswith("-"), F.coalesce("_after", F.lit(""))).otherwise("")
-    return joined.select(id_col, "start", "length", F.concat(head, "phrase", tail).alias("phrase"))
+    """A span that starts or ends in ``-`` gains the token before or after it.
+
+    ``tokens`` are ``marked_tokens``; those by document meet the spans of a document in one row.
+    """
+    opens, closes = (lambda p: p.startswith("-")), (lambda p: p.endswith("-"))
+    if "copies" not in tokens.columns:
+        before = tokens.select(id_col, (F.col("pos") + 1).alias("start"), F.col("token").alias("_before"))
+        after = tokens.select(id_col, F.col("pos").alias("_next"), F.col("token").alias("_after"))
+        opened = spans.withColumn("_next", F.col("start") + F.col("length"))
+        joined = opened.join(before, [id_col, "start"], "left").join(after, [id_col, "_next"], "left")
+        head = F.when(opens(F.col("phrase")), F.coalesce("_before", F.lit(""))).otherwise("")
+        tail = F.when(closes(F.col("phrase")), F.coalesce("_after", F.lit(""))).otherwise("")
+        return joined.select(id_col, "start", "length", F.concat(head, "phrase", tail).alias("phrase"))
+
+    def found(place: Column) -> Column:
+        """Tokens of all texts at a place (from 0); an empty one if there is none."""
+        here = F.filter(F.transform("copies", lambda c: F.get(c, place)), lambda t: t.isNotNull())
+        return F.when(F.size(here) > 0, here).otherwise(F.array(F.lit("")))
+
+    def repaired(s: Column) -> Column:
+        def whole(b: Column, a: Column) -> Column:
+            phrase = F.concat(F.when(opens(s["phrase"]), b).otherwise(""), s["phrase"], F.when(closes(s["phrase"]), a).otherwise(""))
+            return F.struct(s["start"].alias("start"), s["length"].alias("length"), phrase.alias("phrase"))
+
+        afters = found(s["start"] + s["length"] - 1)
+        return F.flatten(F.transform(found(s["start"] - 2), lambda b: F.transform(afters, lambda a: whole(b, a))))
+
+    listed = spans.groupBy(id_col).agg(F.collect_list(F.struct("start", "length", "phrase")).alias("_s"))
+    return listed.join(tokens, id_col, "left").select(id_col, F.inline(F.flatten(F.transform("_s", repaired))))
 
 
 def phrase_doc_counts(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
