@@ -123,33 +123,51 @@ def frequent_cooccurrence(
 ) -> DataFrame:
     """``id1 < id2, shared`` of the pairs that share at least ``min_shared`` documents.
 
-    Phrases with fewer documents go first. A phrase's documents are put in one order for all phrases, those
-    with few phrases first, and its last ``min_shared - 1`` are left out of the search: the first document that two
-    phrases share is left out of neither if they share enough. So a rare phrase is paired in one document or a few,
-    and a document with very many phrases in none or for few of them. Each pair found is then counted exactly.
+    Phrases with fewer documents go first. The pairs of each document are counted as they are met. Only in a document with more
+    than ``block_rows`` phrases, half of them late, late phrases are left out: a phrase is late in its last ``min_shared - 1``
+    documents, those with few phrases coming first. Two phrases that share enough are late together nowhere
+    in the first document they share, so the pair is met; what it shares in the documents cut is then added.
     """
     if min_shared < 1:
         raise ValueError("min_shared must be at least 1")
     rows = durable(incidence.select(doc_col, id_col).filter(F.col(doc_col).isNotNull() & F.col(id_col).isNotNull()).distinct())
-    sizes = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") >= min_shared)
-    kept = durable(lookup(rows, sizes.withColumn("_n", F.col("_docs")), [id_col], "_n"))
-    width = kept.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_width")).filter("_width > 1")
-    placed = dense_index(
-        lookup(kept, width.withColumn("_n", F.col("_width")), [doc_col], "_n", how="left").fillna(1, ["_width"]),
-        [id_col, "_width", doc_col],
-        "_at",
-    )
-    placed = durable(placed)
-    first = placed.groupBy(id_col).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    searched = lookup(placed, first, [id_col], "_n").filter(
-        F.col("_at") - F.col("_first") <= F.col("_docs") - min_shared
-    )
-    found = durable(
-        grouped_pairs(searched.select(doc_col, id_col), doc_col, id_col, [], block_rows=block_rows)
-        .select("id1", "id2")
-        .distinct()
-    )
-    return shared_documents(found, kept.select(doc_col, id_col), id_col, doc_col).filter(F.col("shared") >= min_shared)
+    kept = rows
+    if min_shared > 1:
+        sizes = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_shared)
+        kept = durable(lookup(rows, sizes, [id_col], "_n"))
+    width = kept.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_width"))
+    wide = durable(width.filter(F.col("_width") > block_rows))
+    late = cut = None
+    if min_shared > 1 and not wide.isEmpty():
+        # Documents with few phrases come first, so those left out of the numbering precede all that are in it.
+        placed = durable(
+            dense_index(lookup(kept, wide.withColumn("_n", F.col("_width")), [doc_col], "_n"), [id_col, "_width", doc_col], "_at")
+        )
+        last = placed.groupBy(id_col).agg(F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        flagged = lookup(placed, last, [id_col], "_n").withColumn("_late", F.col("_last") - F.col("_at") < min_shared - 1)
+        flagged = durable(flagged.select(doc_col, id_col, "_late"))
+        halves = flagged.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_late").alias("_l"))
+        cut = durable(lookup(flagged, halves.filter("2 * _l >= _n").drop("_l"), [doc_col], "_n"))
+        late = cut.filter("_late").drop("_late")
+        if late.isEmpty():
+            cut = None
+    met = kept.select(doc_col, id_col)
+    if cut is not None:
+        met = met.join(late, [doc_col, id_col], "left_anti")
+    counted = cooccurrence(met, id_col, doc_col, block_rows)
+    if cut is not None:
+        counted = durable(counted)
+        # A document where both are late counts once, from the first phrase.
+        more = [
+            counted.select("id1", "id2")
+            .join(late.select(F.col(id_col).alias(one), doc_col), one)
+            .join(other.select(F.col(id_col).alias(two), doc_col), [two, doc_col])
+            .groupBy("id1", "id2")
+            .agg(F.count(F.lit(1)).alias("shared"))
+            for one, two, other in (("id1", "id2", cut), ("id2", "id1", cut.filter("not _late")))
+        ]
+        counted = counted.unionByName(more[0]).unionByName(more[1]).groupBy("id1", "id2").agg(F.sum("shared").alias("shared"))
+    return counted.filter(F.col("shared") >= min_shared)
 
 
 def shared_documents(

@@ -1,7 +1,11 @@
 """Work that must not grow faster than the input: results against brute force, and what is moved for them."""
 
+import random
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from phrasegraph.operators import graph as G
 from phrasegraph.operators import phrases as P
 
 
@@ -32,3 +36,22 @@ def test_hyphen_spans_move_no_single_token(spark):
     whole = P.marked_tokens(docs, by_document=True)
     plan = P.repair_hyphen_spans(P.hyphen_spans(whole), whole)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and plan.count("Join") == 1
+
+
+def test_frequent_pairs_are_counted_as_met_and_not_looked_up(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a pair found must not be probed in all documents of a phrase")
+
+    monkeypatch.setattr(G, "shared_documents", never)
+    rng = random.Random(3)
+    # Narrow documents, a wide one with many rare phrases (cut) and two wide ones that are not.
+    docs = {d: {f"k{rng.randrange(12)}" for _ in range(rng.randrange(1, 5))} for d in range(40)}
+    docs |= {100: {f"k{i}" for i in range(40)}, 101: {f"k{i}" for i in range(30)}, 102: {f"k{i}" for i in range(25, 40)}, 103: {f"k{i}" for i in range(9)}}
+    shared = {}
+    for held in docs.values():
+        for pair in combinations(sorted(held), 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    table = spark.createDataFrame([(k, d) for d, held in docs.items() for k in held], "kid string, doc_id long")
+    for least, block in ((2, 6), (3, 6)):
+        got = [tuple(r) for r in G.frequent_cooccurrence(table, least, block_rows=block).select("id1", "id2", "shared").collect()]
+        assert sorted(got) == sorted((*p, n) for p, n in shared.items() if n >= least)
