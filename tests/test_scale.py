@@ -55,3 +55,19 @@ def test_frequent_pairs_are_counted_as_met_and_not_looked_up(spark, monkeypatch)
     for least, block in ((2, 6), (3, 6)):
         got = [tuple(r) for r in G.frequent_cooccurrence(table, least, block_rows=block).select("id1", "id2", "shared").collect()]
         assert sorted(got) == sorted((*p, n) for p, n in shared.items() if n >= least)
+
+
+def test_shared_documents_of_many_pairs_are_counted_by_document(spark, monkeypatch):
+    counted = []
+    plain = G.cooccurrence
+    monkeypatch.setattr(G, "cooccurrence", lambda *a, **k: counted.append(1) or plain(*a, **k))
+    rows = [(k, d) for k in range(1, 6) for d in range(100 * k, 100 * k + 30)] + [(1, 900), (2, 900), (3, 900), (2, 901), (3, 901), (4, None), (5, None)]
+    table = spark.createDataFrame(rows + [(9, 900)], "kid long, doc_id long")
+    # Every pair, one the other way round, one twice, one of a phrase with itself, two with strangers.
+    pairs = [*combinations(range(1, 6), 2), (3, 1), (1, 2), (4, 4), (1, 77), (None, 2)]
+    got = G.shared_documents(spark.createDataFrame(pairs, "id1 long, id2 long"), table).collect()
+    docs = {k: {d for x, d in rows if x == k and d is not None} for k in range(1, 6)}
+    want = [(a, b, len(docs.get(a, set()) & docs.get(b, set()))) for a, b in pairs]
+    order = {"key": lambda r: tuple(map(str, r))}
+    assert sorted(map(tuple, got), **order) == sorted(want, **order)
+    assert counted, "30 documents a phrase must not be expanded for each pair"
