@@ -152,9 +152,14 @@ def sample_cooccurring(
     seed: int = 42,
     used: DataFrame | None = None,
 ) -> DataFrame:
-    """Uniform sample of pairs sharing enough documents whose cosine is not above ``max_sim``."""
-    enough = exclude_used(cooc.filter(F.col("shared") >= min_shared), used)
-    scored = pair_cosine(enough, vectors).filter(F.col("cosine") <= max_sim)
+    """Uniform sample of pairs sharing enough documents whose cosine is not above ``max_sim``.
+
+    Pairs without both vectors have no cosine and are dropped before anything else is joined.
+    """
+    enough = cooc.filter(F.col("shared") >= min_shared)
+    for end in ("id1", "id2"):
+        enough = enough.join(vectors.select(F.col("id").alias(end)), end, "left_semi")
+    scored = pair_cosine(exclude_used(enough, used), vectors).filter(F.col("cosine") <= max_sim)
     order = hash_order(seed, F.col("id1"), F.col("id2"))
     return scored.select("id1", "id2", "shared", "cosine").orderBy(order, "id1", "id2").limit(n)
 
