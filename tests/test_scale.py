@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phrasegraph.operators import graph as G
 from phrasegraph.operators import phrases as P
+from phrasegraph.operators import sampling as H
 
 
 def test_hyphen_spans_by_document_equal_the_joins_of_tokens(spark):
@@ -71,3 +72,14 @@ def test_shared_documents_of_many_pairs_are_counted_by_document(spark, monkeypat
     order = {"key": lambda r: tuple(map(str, r))}
     assert sorted(map(tuple, got), **order) == sorted(want, **order)
     assert counted, "30 documents a phrase must not be expanded for each pair"
+
+
+def test_pairs_without_vectors_are_dropped_before_used_pairs(spark, monkeypatch):
+    seen = []
+    plain = H.exclude_used
+    monkeypatch.setattr(H, "exclude_used", lambda pairs, used: seen.append(pairs.count()) or plain(pairs, used))
+    cooc = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (2, 3, 1), (1, 9, 5), (8, 9, 5)], "id1 long, id2 long, shared long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id long, vec array<double>")
+    used = spark.createDataFrame([("2||3",)], "pair string")
+    got = H.sample_cooccurring(cooc, vectors, 10, 1, 0.9, 42, used).select("id1", "id2").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (1, 3)] and seen == [3]
