@@ -192,3 +192,24 @@ def test_frequent_cooccurrence_against_all_pairs(spark):
         got = {(r["id1"], r["id2"]): r["shared"] for r in frequent_cooccurrence(table, least, block_rows=16).collect()}
         assert got == {p: n for p, n in shared.items() if n >= least}
     assert frequent_cooccurrence(table.filter("doc_id < 0"), 2).count() == 0
+
+
+def test_leaves_follow_their_host(spark, monkeypatch):
+    """Stars and pairs need no round at all (they took two); chains and rings between hosts keep their smallest member."""
+    from phrasegraph.operators import graph as G
+
+    rounds, star = [], G._large_star
+    monkeypatch.setattr(G, "_large_star", lambda links, n: rounds.append(n) or star(links, n))
+
+    def found(rows):
+        out = [tuple(r) for r in G.connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()]
+        assert len(out) == len(dict(out))
+        return dict(out)
+
+    stars = [(9, 1), (9, 20), (2, 9), (9, 20), (40, 41), (50, 50), (60, None), (35, 30), (35, 31), (35, 36)]
+    assert found(stars) == {**dict.fromkeys((1, 2, 9, 20), 1), 40: 40, 41: 40, **dict.fromkeys((30, 31, 35, 36), 30)}
+    assert not rounds
+    linked = [(h, 100 + 10 * h + j) for h in range(5, 9) for j in range(4)] + [(5, 6), (7, 6), (8, 3), (8, 2)]
+    got = found(linked)
+    assert rounds
+    assert {v: got[v] for v in (5, 6, 7, 8, 2, 3, 150, 163, 172, 181)} == {5: 5, 6: 5, 7: 5, 8: 2, 2: 2, 3: 2, 150: 5, 163: 5, 172: 5, 181: 2}
