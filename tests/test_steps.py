@@ -89,3 +89,27 @@ def test_settled_result_outlives_its_steps(spark):
     before = step_folders(spark)
     out = settled(spark, lambda: durable(spark.range(5)).filter("id > 1"))
     assert len(step_folders(spark) - before) == 1 and out.count() == 3
+
+
+def test_inner_matches_against_text_search(spark):
+    dice = random.Random(5)
+    made = lambda least, most, longest: " ".join("".join(dice.choice("ab") for _ in range(dice.randint(1, longest))) for _ in range(dice.randint(least, most)))
+    rows = [(k // 2 if k % 7 else None, made(0, 20, 4)) for k in range(80)] + [(1, None), (2, "é éa aé üb"), (3, "aa aa aa aa aa aa"), (4, "A-b a_b a.b")]
+    wanted = {made(1, 4, 3) for _ in range(150)} | {"aa aa", "aa aa aa", "é aé", " a b", "a ", "a  b", "b a ", ""}
+    want = Counter()
+    for doc, text in rows:
+        joined = " ".join("".join(c if c.isalnum() else " " for c in (text or "").lower()).split())
+        want.update({(doc, p): joined.count(p) for p in wanted if " " in p and p in joined})
+    before = step_folders(spark)
+    phrases = spark.createDataFrame([(p,) for p in [*wanted, None, "aa aa"]], "phrase string")
+    got = P.substring_matches(phrases, spark.createDataFrame(rows, "doc_id long, text string"), min_doc_count=1)
+    # The phrases, the matches and what the last join reads: neither words nor their places are written.
+    assert len(step_folders(spark) - before) <= 3
+    assert {(r["doc_id"], r["phrase"]): r["n"] for r in got.collect()} == dict(want)
+
+
+def test_only_possible_pairs_move(spark):
+    pairs = spark.createDataFrame([(k, f"a{k}", f"b{k % 7}") for k in range(3_000)], "_block long, a string, b string")
+    found = spark.createDataFrame([("a5", "b5", 9), ("a9", "b2", 7)], "a string, b string, n_ab long")
+    some = {(r["a"], r["b"]) for r in P._possible_pairs(pairs, found, 2).collect()}
+    assert {("a5", "b5"), ("a9", "b2")} <= some and len(some) < 300
